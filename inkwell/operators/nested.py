@@ -46,16 +46,14 @@ def decode(payload: str | None) -> object:
 def label_nodes(value: object) -> Iterator[tuple[tuple[int, ...], str | None, dict]]:
     """(label, table or None, object) of every object, in document order, without recursion.
 
-    Arrays take no level of their own in the label: an object standing in for an array of one is labelled alike.
+    An array's elements take a level of their own in the label, so no two objects of a record share one.
     """
     kinds = {key: kind for kind, keys in TABLES.items() for key in keys}
     stack: list[tuple[tuple[int, ...], str | None, object]] = [((1,), None, value)]
     while stack:
         label, key, item = stack.pop()
         if isinstance(item, list):
-            flat = [x for x in item]
-            for n in range(len(flat) - 1, -1, -1):
-                stack.append((label[:-1] + (label[-1] + n,) if key is None else (*label, n + 1), key, flat[n]))
+            stack.extend(((*label, n), key, item[n - 1]) for n in range(len(item), 0, -1))
         elif isinstance(item, dict):
             yield label, kinds.get(key), item
             for n, (k, v) in reversed(list(enumerate(item.items(), 1))):
@@ -110,23 +108,35 @@ def _dotted(label: tuple[int, ...] | None) -> str | None:
     return ".".join(map(str, label)) if label else None
 
 
-def flatten_records(records: DataFrame) -> DataFrame:
+def flatten_records(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per page, revision, section and note of records(record_id, payload).
 
     kind names the table, label is the key within the record, parent_label that of the row above (null at the top);
     id, parent_id are the objects' own numbers (parent_id 0 for a section without one around it). Null, damaged and
     empty payloads give no rows; payloads encoded again as strings are decoded; repeated deliveries repeat their rows
-    until table_of() removes them; other columns of records are ignored.
+    until table_of() removes them; other columns of records are ignored. columns: those of SCHEMA that are wanted, so
+    that no others leave Python.
     """
-    return flat_map(records, ["record_id", "payload"], lambda: flatten_record, SCHEMA)
+    types = dict(x.split() for x in SCHEMA.split(", "))
+    wanted = columns or list(types)
+    places = [list(types).index(c) for c in wanted]
 
+    def start():
+        return lambda record_id, payload: (tuple(row[i] for i in places) for row in flatten_record(record_id, payload))
 
-def table_of(rows: DataFrame, kind: str) -> DataFrame:
+    return flat_map(records, ["record_id", "payload"], start, ", ".join(f"{c} {types[c]}" for c in wanted))
+
+
+#: What each flat table holds besides its keys.
+COLUMNS = {
+    "page": ["title", "redirect"],
+    "revision": ["sha1", "text"],
+    "section": ["id", "parent_id", "sha1", "heading", "text", "page_label", "revision_label"],
+    "note": ["id", "parent_id", "heading"],
+}
+
+
+def table_of(records: DataFrame, kind: str) -> DataFrame:
     """The flat table of one kind, each object once, keyed by (record_id, label) with parent_label as foreign key."""
-    columns = {
-        "page": ["title", "redirect"],
-        "revision": ["sha1", "text"],
-        "section": ["id", "parent_id", "sha1", "heading", "text", "page_label", "revision_label"],
-        "note": ["id", "parent_id", F.col("heading").alias("note")],
-    }[kind]
-    return rows.where(F.col("kind") == kind).select("record_id", "label", "parent_kind", "parent_label", *columns).distinct()
+    columns = ["record_id", "label", "parent_kind", "parent_label", *COLUMNS[kind]]
+    return flatten_records(records, ["kind", *columns]).where(F.col("kind") == kind).select(*columns).distinct()

@@ -27,12 +27,16 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    sections = table_of(flatten_records(table(spark, folder, "raw_record")), "section")
-    return sections.select("record_id", "sha1", F.col("id").alias("section_id"), "parent_id").distinct()
+    rows = flatten_records(table(spark, folder, "raw_record"), ["record_id", "kind", "sha1", "id", "parent_id"])
+    return rows.where(F.col("kind") == "section").select("record_id", "sha1", F.col("id").alias("section_id"), "parent_id").distinct()
 
 
 def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table_of(flatten_records(table(spark, folder, "raw_record")), "page")
+    return table_of(table(spark, folder, "raw_record"), "page")
+
+
+def p5_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return table_of(table(spark, folder, "raw_record"), "section")
 
 
 NAMES_SQL = """
@@ -47,7 +51,7 @@ down AS (SELECT name, parent, name AS root, CAST(0 AS BIGINT) AS depth, name AS
   UNION ALL SELECT n.name, n.parent, d.root, d.depth + 1, d.path || ' / ' || n.name FROM nodes n JOIN down d ON n.parent = d.name)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p5_found": p5_found, "p5_pages": p5_pages}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p5_found": p5_found, "p5_pages": p5_pages, "p5_sections": p5_sections}
 SQL = {
     "p1_found": f"WITH RECURSIVE {NAMES_SQL} SELECT n.name AS category, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth FROM nodes n LEFT JOIN down d ON n.name = d.name",
     "p1_hierarchy": f"""WITH RECURSIVE {NAMES_SQL},
