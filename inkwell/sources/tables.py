@@ -18,6 +18,6 @@ def articles(page: DataFrame) -> DataFrame:
     Should deliveries of one page_id differ, the text that is first in order counts. Rows with null page_id are left out.
     """
     kept = page.where(
-        F.col("page_id").isNotNull() & F.col("text").isNotNull() & (F.trim(F.coalesce("redirect", F.lit(""))) == "")
+        F.col("page_id").isNotNull() & F.col("text").isNotNull() & ~F.coalesce("redirect", F.lit("")).rlike(r"(?U)\S")
     )
     return kept.groupBy("page_id").agg(F.min("text").alias("text"))
