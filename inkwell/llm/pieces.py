@@ -18,7 +18,7 @@ from inkwell.functions.arrow import flat_map
 
 #: Boundary strengths.
 WORD_END, SENTENCE_END, PARAGRAPH_END = 1, 2, 3
-_LINE = r"(?:\r\n|\r|\n)"
+_LINE = r"(?>\r\n|\r|\n)"  # atomic: no \r\n is two line ends
 _BLANK = r"[ \t ]"
 _PARAGRAPH = re.compile(rf"{_LINE}(?:{_BLANK}*{_LINE})+")
 _SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*\s+|[。！？।॥؟]+[\"'”’»」』）)\]]*\s*)")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.distinctive import most_distinctive, term_scores
+from inkwell.llm.leaks import find_leaks
 from inkwell.llm.mixture import allocate, count_tokens, mix, report
 from inkwell.llm.pieces import split_texts
+from inkwell.llm.sentences import split_sentences
 from inkwell.llm.term_counts import count_terms, mark_terms
 from inkwell.llm.words import listed_words
 from inkwell.sources.tables import articles, table
@@ -50,6 +52,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("piece_no = 1").select(F.col("key").alias("page_id"), F.explode("oversized").alias("para_no"))
 
 
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     counted = count_tokens(table(spark, folder, "documents"))
     return allocate(counted, table(spark, folder, "mix_target")).where("short").select("source")
@@ -64,6 +74,14 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return report(mix(counted, targets), counted, targets)
 
 
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return split_sentences(table(spark, folder, "documents"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_sentences(table(spark, folder, "documents"), with_text=False).select("doc_id", "sent_end")
+
+
 ARTICLES = "article AS (SELECT page_id, min(text) AS text FROM page WHERE page_id IS NOT NULL AND text IS NOT NULL AND trim(coalesce(redirect, '')) = '' GROUP BY page_id)"
 TOKENS = "token AS (SELECT page_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM article), tf AS (SELECT page_id, word, count(*) AS tf FROM token GROUP BY ALL)"
 LISTED = "listed AS (SELECT DISTINCT regexp_replace(lower(word), '^\\s+|\\s+$', '', 'g') AS word FROM idf WHERE regexp_replace(lower(word), '^\\s+|\\s+$', '', 'g') <> '')"
@@ -76,16 +94,18 @@ SCORED = f"""{ARTICLES}, {TOKENS}, {LISTED}, total AS (SELECT count(*) AS n FROM
     known AS (SELECT word, count(*) AS df FROM kept GROUP BY word), length AS (SELECT page_id, count(*) AS length FROM token GROUP BY page_id)"""
 
 QUERIES = {"p2_found": p2_found, "p2_marked": p2_marked, "p6_found": p6_found, "p6_scores": p6_scores,
-           "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report}
+           "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report,
+           "p10_found": p10_found, "p10_sentences": p10_sentences}
 SQL = {
     "p2_found": f"WITH {MARKED} SELECT word, mark FROM marked WHERE mark IS NOT NULL",
     "p2_marked": f"WITH {MARKED} SELECT * FROM marked",
     "p6_found": f"""WITH {SCORED}, best AS (SELECT page_id, word, tf, df, row_number() OVER (PARTITION BY page_id ORDER BY round(tf * ln(n / df), 9) DESC, word) AS r
         FROM kept JOIN known USING (word) CROSS JOIN total) SELECT page_id, word FROM best WHERE r = 1 AND tf >= 4 AND df <= 3""",
     "p6_scores": f"WITH {SCORED} SELECT page_id, word, tf, df, length, round(tf / length * (ln((1 + n) / (1 + df)) + 1), 6) AS score FROM kept JOIN known USING (word) JOIN length USING (page_id) CROSS JOIN total",
-    "p7_found": f"""WITH {ARTICLES}, parts AS (SELECT page_id, unnest(string_split_regex(text, '(?:\\r\\n|\\r|\\n)(?:[ \\t\\x{{00a0}}]*(?:\\r\\n|\\r|\\n))+')) AS part,
-          generate_subscripts(string_split_regex(text, '(?:\\r\\n|\\r|\\n)(?:[ \\t\\x{{00a0}}]*(?:\\r\\n|\\r|\\n))+'), 1) AS place FROM article),
-        bodies AS (SELECT page_id, place, regexp_replace(part, '^[ \\t\\x{{00a0}}\\r\\n]+|[ \\t\\x{{00a0}}\\r\\n]+$', '', 'g') AS body FROM parts),
+    "p7_found": f"""WITH {ARTICLES}, lines AS (SELECT page_id, replace(text, chr(13) || chr(10), chr(1) || chr(10)) AS text FROM article),
+        split AS (SELECT page_id, string_split_regex(text, '(?:\\x01\\n|\\r|\\n)(?:[ \\t\\x{{00a0}}]*(?:\\x01\\n|\\r|\\n))+') AS list FROM lines),
+        parts AS (SELECT page_id, unnest(list) AS part, generate_subscripts(list, 1) AS place FROM split),
+        bodies AS (SELECT page_id, place, regexp_replace(part, '^[ \\t\\x{{00a0}}\\r\\n\\x01]+|[ \\t\\x{{00a0}}\\r\\n\\x01]+$', '', 'g') AS body FROM parts),
         numbered AS (SELECT page_id, body, row_number() OVER (PARTITION BY page_id ORDER BY place) AS para_no FROM bodies WHERE body <> '')
         SELECT page_id, para_no FROM numbered WHERE length(body) > 2000""",
 }
