@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.distinctive import most_distinctive, term_scores
 from inkwell.llm.leaks import find_leaks
+from inkwell.llm.markup import strip_markup
 from inkwell.llm.mixture import allocate, count_tokens, mix, report
 from inkwell.llm.pieces import split_texts
+from inkwell.llm.quality import text_quality
 from inkwell.llm.sentences import split_sentences
 from inkwell.llm.term_counts import count_terms, mark_terms
 from inkwell.llm.words import listed_words
@@ -30,6 +32,24 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_marked(spark, folder).where(F.col("mark").isNotNull()).select("word", "mark")
 
 
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    stripped = strip_markup(_articles(spark, folder).withColumnRenamed("page_id", "key"))
+    return stripped.select(F.col("key").alias("page_id"), "kinds", "clean", "blocks")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    stripped = strip_markup(_articles(spark, folder).withColumnRenamed("page_id", "key"), kinds_only=True)
+    return stripped.select(F.col("key").alias("page_id"), F.explode("kinds").alias("kind"))
+
+
+def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality(_articles(spark, folder).withColumnRenamed("page_id", "key")).withColumnRenamed("key", "page_id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_statistics(spark, folder).where(~F.col("prose")).select("page_id")
+
+
 def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     known = _articles(spark, folder).withColumnRenamed("page_id", "key")
     scores = term_scores(known, listed_words(table(spark, folder, "idf")))
@@ -93,7 +113,8 @@ MARKED = f"""{ARTICLES}, {TOKENS}, {LISTED}, known AS (SELECT word, CAST(sum(tf)
 SCORED = f"""{ARTICLES}, {TOKENS}, {LISTED}, total AS (SELECT count(*) AS n FROM article), kept AS (SELECT tf.* FROM tf SEMI JOIN listed USING (word)),
     known AS (SELECT word, count(*) AS df FROM kept GROUP BY word), length AS (SELECT page_id, count(*) AS length FROM token GROUP BY page_id)"""
 
-QUERIES = {"p2_found": p2_found, "p2_marked": p2_marked, "p6_found": p6_found, "p6_scores": p6_scores,
+QUERIES = {"p2_found": p2_found, "p2_marked": p2_marked, "p3_found": p3_found, "p3_clean": p3_clean,
+           "p4_found": p4_found, "p4_statistics": p4_statistics, "p6_found": p6_found, "p6_scores": p6_scores,
            "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report,
            "p10_found": p10_found, "p10_sentences": p10_sentences}
 SQL = {
