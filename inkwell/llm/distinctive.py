@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.words import word_array
+from inkwell.llm.words import word_rows
 from inkwell.session import cut_lineage
 
 #: Words in at least this share of the records count as hot. There are at most 1 / HOT times as many of them as a record
 #: has distinct words on average, however large the collection, so their df may be sent to every task.
-HOT = 0.01
+HOT = 0.001
 #: Should records be so long that more words than this are hot after all, they are joined like the others.
-MOST_HOT = 200_000
+MOST_HOT = 500_000
 
 
 def term_scores(records: DataFrame, vocabulary: DataFrame | None = None, smooth: bool = True, normalise: bool = True) -> DataFrame:
@@ -26,7 +26,7 @@ def term_scores(records: DataFrame, vocabulary: DataFrame | None = None, smooth:
     Counts per record are made where the record is. df is joined back in two ways: hot words, most of all rows, by a
     broadcast of bounded size, the others by a shuffle in which no word has more than HOT of the records.
     """
-    counts = records.select("key", F.explode(word_array("text")).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
+    counts = word_rows(records, "key").groupBy("key", "word").agg(F.count("*").alias("tf"))
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
     if vocabulary is not None:
         df = df.join(vocabulary, "word")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A run of Unicode L and N in Python, where \w is these and the underscore.
@@ -15,9 +15,9 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def word_array(text: Column | str) -> Column:
-    """The same in the JVM, in order, without the empty strings that split() leaves at the ends."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def word_rows(records: DataFrame, key: str) -> DataFrame:
+    """key, word: the same in the JVM, one row per word. The empty strings at the ends of a split go by a plain filter."""
+    return records.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
 
 
 def listed_words(idf: DataFrame) -> DataFrame:
