@@ -134,7 +134,7 @@ def nearest_by_cells(queries: DataFrame, rows: DataFrame, k: int, centres: np.nd
     schema = "id bigint, vector array<float>, cell bigint"
     held = rows.select("id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(assign(1), schema).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     asked = queries.select("id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(assign(probes), schema)
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

@@ -241,7 +241,7 @@ def _tfidf_sql(normalised: bool, tail: str) -> str:
               FROM tf JOIN q USING (word) JOIN len USING (doc_id) GROUP BY doc_id) {tail}""").replace(f"{BASE} ,", f"{BASE},")
 
 
-def _bm25_sql(normalised: bool, tail: str) -> str:
+def bm25_sql(normalised: bool, tail: str) -> str:
     t = "(tf / dl)" if normalised else "tf"
     return _with(f""", s AS (SELECT doc_id, round(sum(idf * {t} * 2.2 / ({t} + 1.2 * (0.25 + 0.75 * dl / avg_doc_len))), 6) AS score
         FROM tf JOIN idf USING (word) JOIN len USING (doc_id) CROSS JOIN stats WHERE word IN ({_list(WORDS)}) GROUP BY doc_id) {tail}""").replace(f"{BASE} ,", f"{BASE},")
@@ -296,9 +296,9 @@ SQL = {
     "tfidf_search": _tfidf_sql(False, "SELECT doc_id, round(score, 6) AS score FROM s WHERE score IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 50"),
     "tfidf_search_norm": _tfidf_sql(True, "SELECT doc_id, round(score, 6) AS score FROM s WHERE score IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 50"),
     "tfidf_threshold": _tfidf_sql(False, "SELECT doc_id, round(score, 6) AS score FROM s WHERE score >= 0.5"),
-    "bm25_search": _bm25_sql(False, "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 50"),
-    "bm25_search_norm": _bm25_sql(True, "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 50"),
-    "topk_per_source": _bm25_sql(False, "SELECT file, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT file, doc_id, score, row_number() OVER (PARTITION BY file ORDER BY score DESC, doc_id) AS r FROM s JOIN documents USING (doc_id)) WHERE r <= 3"),
+    "bm25_search": bm25_sql(False, "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 50"),
+    "bm25_search_norm": bm25_sql(True, "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 50"),
+    "topk_per_source": bm25_sql(False, "SELECT file, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT file, doc_id, score, row_number() OVER (PARTITION BY file ORDER BY score DESC, doc_id) AS r FROM s JOIN documents USING (doc_id)) WHERE r <= 3"),
     "passage_recall": _with(f""", asked AS (SELECT DISTINCT doc_id AS query_id, unnest({_TOKENS}[1:12]) AS word FROM documents WHERE doc_id % 20 = 0),
         s AS (SELECT query_id, doc_id, round(sum(idf), 6) AS score FROM asked JOIN idf USING (word) JOIN tf USING (word) WHERE idf > 1.5 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
