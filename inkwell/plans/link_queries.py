@@ -102,17 +102,18 @@ def page(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "page")
 
 
-_REDIRECT = F.coalesce("redirect", F.lit("")).rlike(r"(?U)\S")
+def _redirect():
+    return F.coalesce("redirect", F.lit("")).rlike(r"(?U)\S")
 
 
 def _page_extract(spark, folder):
     rows = page(spark, folder).where("sha1 IS NOT NULL")
-    return rows.select("page_id", "file", clean_sha1("sha1").alias("sha1"), _REDIRECT.alias("is_redirect"), F.concat_ws("\n\n", "title", "text").alias("text")).distinct()
+    return rows.select("page_id", "file", clean_sha1("sha1").alias("sha1"), _redirect().alias("is_redirect"), F.concat_ws("\n\n", "title", "text").alias("text")).distinct()
 
 
 def _redirect_anti(spark, folder):
     rows = page(spark, folder).where("sha1 IS NOT NULL").select("page_id", "file", clean_sha1("sha1").alias("sha1"), "redirect")
-    invalid = rows.where(_REDIRECT).select("file", "sha1")
+    invalid = rows.where(_redirect()).select("file", "sha1")
     return rows.select("page_id", "file", "sha1").distinct().join(invalid, ["file", "sha1"], "left_anti").select("page_id", "sha1")
 
 
@@ -154,7 +155,7 @@ QUERIES = {
     "nearest_link": _nearest_link,
     "page_extract": _page_extract,
     "redirect_anti": _redirect_anti,
-    "redirect_counts": lambda s, f: page(s, f).groupBy("file").agg(F.countDistinct(F.when(_REDIRECT, F.col("page_id"))).alias("redirects"), F.countDistinct(F.when(~_REDIRECT, F.col("page_id"))).alias("articles")),
+    "redirect_counts": lambda s, f: page(s, f).groupBy("file").agg(F.countDistinct(F.when(_redirect(), F.col("page_id"))).alias("redirects"), F.countDistinct(F.when(~_redirect(), F.col("page_id"))).alias("articles")),
     "resume_anti": lambda s, f: U.resume(page(s, f).select("page_id", "file"), page(s, f).where("page_id % 2 = 0").select("file"), "file").distinct(),
     "codec_roundtrip": lambda s, f: table(s, f, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("packed"), (F.decode(F.unbase64(F.base64(F.encode("text", "UTF-8"))), "UTF-8") == F.col("text")).alias("same")),
     "category_norm": lambda s, f: tree(s, f).groupBy("category").agg(F.count("*").alias("rows")),
