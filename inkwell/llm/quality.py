@@ -74,6 +74,9 @@ def observe(line: str, bare: str, lone: bool, seen: int) -> int:
         return REPEATED
     if letters + digits == 0 or signs > 0.6 * len(bare):
         return SIGNS
+    bars = max(bare.count("|"), bare.count("\t"))
+    if bars >= 2 and len(bare) < 30 * bars or " " not in bare and bare.count(",") >= 2:
+        return CELLS
     if density < 0.2:
         if bare.count("|") >= 1 and small == 0 or bare.count("\t") >= 1 or _WIDE.search(line):
             return CELLS
@@ -92,7 +95,7 @@ def observe(line: str, bare: str, lone: bool, seen: int) -> int:
     mixed = len(_MIXED.findall(bare)) if digits else 0
     if longest > 60 and longest > 0.4 * len(bare) or mixed * 2 > len(tokens) and len(tokens) > 3:
         return GIBBERISH
-    if len(tokens) >= 12 and len(set(tokens)) * 3 < len(tokens) and len(set(tokens)) < 40:
+    if len(tokens) >= 12 and len(set(tokens)) * 5 < len(tokens) and len(set(tokens)) < 40:
         return GIBBERISH
     if density < 0.06 and len(words) >= 12:
         return GIBBERISH
