@@ -68,8 +68,7 @@ def without_punctuation(text: Column | str) -> Column:
 
 def content_words(text: Column | str) -> Column:
     """The white-space separated words that are longer than one character and no stop words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
 def keywords(text: Column | str) -> Column:

@@ -31,14 +31,15 @@ def levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None) ->
     """node, depth of the nodes reachable from start(node): the fewest edges from any of them."""
     links = cut_lineage(clean_edges(edges))
     seen = cut_lineage(start.select("node").where(F.col("node").isNotNull()).distinct().withColumn("depth", F.lit(0).cast("bigint")))
-    frontier, depth = seen, 0
+    depth = 0
     while max_depth is None or depth < max_depth:
+        frontier = seen.where(F.col("depth") == depth)
         depth += 1
         step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
-        if not frontier.limit(1).count():
+        fresh = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
+        seen = cut_lineage(seen.unionByName(fresh))
+        if not seen.where(F.col("depth") == depth).limit(1).count():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
     return seen
 
 
