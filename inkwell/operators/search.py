@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.operators.index import B, K1, corpus_stats, doc_freq, term_freq
+from inkwell.functions.text import simple_tokens
+from inkwell.operators.index import B, K1
 
-#: A query has at most this many different words.
-MOST_WORDS = 10_000
+#: A query has at most this many different words, as each is a column of small numbers.
+MOST_WORDS = 500
 #: Longer words are not indexed.
 WORD_LIMIT = 60
 
 
-def query_words(query: str) -> dict[str, int]:
+def query_counts_of(query: str) -> dict[str, int]:
     """Each word of the query with its count, in order of the words."""
     words = [w for w in re.split(r"[^\w]+", query.lower()) if w]
     if len(set(words)) > MOST_WORDS:
@@ -28,10 +29,6 @@ def query_words(query: str) -> dict[str, int]:
     return {w: words.count(w) for w in sorted(set(words))}
 
 
-def _query(spark: SparkSession, words: dict[str, int]) -> DataFrame:
-    return spark.createDataFrame(list(words.items()), "word string, count_q bigint")
-
-
 def any_word(tf: DataFrame, words: list[str]) -> DataFrame:
     """doc_id of the documents with any of the words."""
     return tf.where(F.col("word").isin([w for w in words if len(w) <= WORD_LIMIT])).select("doc_id").distinct()
@@ -71,27 +68,50 @@ def top(scores: DataFrame, k: int, score: str = "score", key: str = "doc_id") ->
     return scores.orderBy(F.desc(score), key).limit(k)
 
 
+def _times(words: str, word: str):
+    return F.size(F.filter(words, lambda t: t == word))
+
+
+def query_counts(docs: DataFrame, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, stats): doc_id, dl, t0, t1, ... of every document, and one row with n, avg_dl, df0, df1, ...
+
+    Texts are read once: each row's tokens shrink to a few numbers before anything is shuffled, and both results come
+    from the same exchange. A null doc_id is no document; rows of one doc_id add up.
+    """
+    tokens = docs.where("doc_id IS NOT NULL").select("doc_id", simple_tokens("text").alias("tokens"))
+    held = tokens.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.filter("tokens", lambda t: t.isin(words)).alias("held"))
+    counts = [F.coalesce(_times("held", w), F.lit(0)).alias(f"t{i}") for i, w in enumerate(words)]
+    names = ["dl", *(f"t{i}" for i in range(len(words)))]
+    rows = held.select("doc_id", "dl", *counts).groupBy("doc_id").agg(*(F.sum(F.greatest(c, F.lit(0))).alias(c) for c in names))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *(F.sum((F.col(f"t{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(words))))
+    return rows, stats
+
+
+def _idf(i: int):
+    return F.when(F.col(f"df{i}") > 0, F.log(F.col("n") / F.col(f"df{i}"))).otherwise(0.0)
+
+
+def _any(words: list[str]):
+    return F.greatest(*(F.col(f"t{i}") for i in range(len(words)))) > 0 if len(words) > 1 else F.col("t0") > 0
+
+
 def tfidf_scores(docs: DataFrame, query: str, normalised: bool = False, threshold: float = -1.0, as_distance: bool = False) -> DataFrame:
     """doc_id, score: cosine of query and document, both restricted to the words of the query.
 
     normalised: tf / document length. threshold > 0 keeps scores of at least that (as_distance: of at most that). Words
     that no document has count nothing; documents without any query word, or with zero vectors, don't appear.
     """
-    words = query_words(query)
-    spark = docs.sparkSession
-    tf = term_freq(docs)
-    held = tf.where(F.col("word").isin(list(words)))
-    df = doc_freq(held)
-    n = corpus_stats(docs).select("corpus_size")
-    weights = df.join(F.broadcast(_query(spark, words)), "word").crossJoin(F.broadcast(n)).select("word", "count_q", F.log(F.col("corpus_size") / F.col("df")).alias("idf"))
-    rows = held.join(F.broadcast(weights), "word")
-    if normalised:
-        lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-        rows = rows.join(lengths, "doc_id").withColumn("tf", F.col("tf") / F.col("dl"))
-    q, d = F.col("count_q") * F.col("idf"), F.col("tf") * F.col("idf")
-    norm = F.broadcast(weights.agg(F.sqrt(F.sum(q * q)).alias("norm_q")))
-    scored = rows.groupBy("doc_id").agg(F.sum(q * d).alias("dot"), F.sqrt(F.sum(d * d)).alias("norm_d")).crossJoin(norm)
-    scored = scored.select("doc_id", F.try_divide("dot", F.col("norm_d") * F.col("norm_q")).alias("score")).where("score IS NOT NULL")
+    counted = query_counts_of(query)
+    words = list(counted)
+    if not words:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, score double")
+    rows, stats = query_counts(docs, words)
+    parts = range(len(words))
+    q = [counted[w] * _idf(i) for i, w in enumerate(words)]
+    d = [(F.col(f"t{i}") / F.col("dl") if normalised else F.col(f"t{i}")) * _idf(i) for i in parts]
+    dot = sum((q[i] * d[i] for i in parts), F.lit(0.0))
+    norms = F.sqrt(sum((x * x for x in d), F.lit(0.0))) * F.sqrt(sum((x * x for x in q), F.lit(0.0)))
+    scored = rows.where(_any(words)).crossJoin(F.broadcast(stats)).select("doc_id", F.try_divide(dot, norms).alias("score")).where("score IS NOT NULL")
     if threshold > 0:
         scored = scored.where(F.col("score") <= threshold if as_distance else F.col("score") >= threshold)
     return scored
@@ -99,16 +119,16 @@ def tfidf_scores(docs: DataFrame, query: str, normalised: bool = False, threshol
 
 def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, normalised: bool = False) -> DataFrame:
     """doc_id, score: the sum of the BM25 terms of the distinct query words. normalised: tf / document length in place of tf."""
-    words = list(query_words(query))
-    tf = term_freq(docs)
-    held = tf.where(F.col("word").isin(words))
-    df = doc_freq(held)
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    rows = held.join(F.broadcast(df), "word").join(lengths, "doc_id").crossJoin(F.broadcast(corpus_stats(docs)))
-    t = F.col("tf") / F.col("dl") if normalised else F.col("tf")
-    idf = F.log(F.col("corpus_size") / F.col("df"))
-    term = idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("dl") / F.col("avg_doc_len")))
-    return rows.groupBy("doc_id").agg(F.sum(term).alias("score"))
+    words = list(query_counts_of(query))
+    if not words:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, score double")
+    rows, stats = query_counts(docs, words)
+    score = F.lit(0.0)
+    for i in range(len(words)):
+        t = F.col(f"t{i}") / F.col("dl") if normalised else F.col(f"t{i}")
+        term = _idf(i) * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+        score = score + F.when(F.col(f"t{i}") > 0, term).otherwise(0.0)
+    return rows.where(_any(words)).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))
 
 
 def aligned_vectors(sparse: DataFrame, words: list[str], value: str = "tf_idf") -> DataFrame:
