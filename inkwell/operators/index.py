@@ -17,6 +17,26 @@ K1, B = 1.2, 0.75
 #: Documents per posting block: a word's postings are one row per block, so a word in every document is no hot row.
 BLOCK = 65_536
 
+#: Words in at least this share of the documents count as hot. There are at most 1 / HOT times as many of them as a
+#: document has distinct words on average, however large the collection, so their df may be sent to every task.
+HOT = 0.001
+#: Should documents be so long that more words than this are hot after all, they are joined like the others.
+MOST_HOT = 500_000
+
+
+def with_doc_freq(counts: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """counts(word, ...) with the df of df(word, df); rows of words that df lacks are left out. n: number of documents.
+
+    Hot words, most of all rows, get theirs by a broadcast of bounded size, the others by a shuffle in which no word has
+    more than HOT of the documents, so no word is a hot key.
+    """
+    df = cut_lineage(df)
+    hot = df.where(F.col("df") >= HOT * n)
+    if hot.limit(MOST_HOT + 1).count() > MOST_HOT:
+        return counts.join(df, "word")
+    cold = counts.join(F.broadcast(hot.select("word")), "word", "left_anti").join(df.where(F.col("df") < HOT * n), "word")
+    return counts.join(F.broadcast(hot), "word").unionByName(cold)
+
 
 def term_freq(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """doc_id, word, tf of docs(doc_id, text). Null and empty texts have no rows."""
@@ -50,10 +70,9 @@ def inverse_doc_freq(docs: DataFrame) -> DataFrame:
 def sparse_vectors(docs: DataFrame, k1: float = K1, b: float = B, normalised: bool = False) -> DataFrame:
     """doc_id, word, tf, doc_len, idf, tf_idf, bm25. normalised: tf / doc_len stands for tf in both scores."""
     tf = term_freq(docs)
-    stats = corpus_stats(docs)
-    rows = tf.withColumn("doc_len", F.sum("tf").over(W.partitionBy("doc_id")))
-    df = doc_freq(tf)
-    rows = rows.join(df, "word").crossJoin(F.broadcast(stats))
+    stats = cut_lineage(corpus_stats(docs))
+    rows = with_doc_freq(tf.withColumn("doc_len", F.sum("tf").over(W.partitionBy("doc_id"))), doc_freq(tf), stats.head()[0])
+    rows = rows.crossJoin(F.broadcast(stats))
     idf = F.log(F.col("corpus_size") / F.col("df"))
     t = F.col("tf") / F.col("doc_len") if normalised else F.col("tf")
     return rows.select(
