@@ -7,13 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.llm.words import word_rows
-from inkwell.session import cut_lineage
-
-#: Words in at least this share of the records count as hot. There are at most 1 / HOT times as many of them as a record
-#: has distinct words on average, however large the collection, so their df may be sent to every task.
-HOT = 0.001
-#: Should records be so long that more words than this are hot after all, they are joined like the others.
-MOST_HOT = 500_000
+from inkwell.operators.index import with_doc_freq
 
 
 def term_scores(records: DataFrame, vocabulary: DataFrame | None = None, smooth: bool = True, normalise: bool = True) -> DataFrame:
@@ -23,23 +17,16 @@ def term_scores(records: DataFrame, vocabulary: DataFrame | None = None, smooth:
     record; without it there is no length. N counts all records, those without words too. vocabulary(word): only its
     words come out. Null and empty texts give no rows; repeated keys add up; other columns are ignored.
 
-    Counts per record are made where the record is. df is joined back in two ways: hot words, most of all rows, by a
-    broadcast of bounded size, the others by a shuffle in which no word has more than HOT of the records.
+    Counts per record are made where the record is; df is joined back by with_doc_freq(), so no word is a hot key.
     """
     counts = word_rows(records, "key").groupBy("key", "word").agg(F.count("*").alias("tf"))
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
     if vocabulary is not None:
         df = df.join(vocabulary, "word")
-    df = cut_lineage(df)
     if normalise:
         counts = counts.withColumn("length", F.sum("tf").over(W.partitionBy("key")))
     n = records.select("key").distinct().count()
-    hot = df.where(F.col("df") >= HOT * n)
-    if hot.limit(MOST_HOT + 1).count() > MOST_HOT:
-        rows = counts.join(df, "word")
-    else:
-        cold = counts.join(F.broadcast(hot.select("word")), "word", "left_anti").join(df.where(F.col("df") < HOT * n), "word")
-        rows = counts.join(F.broadcast(hot), "word").unionByName(cold)
+    rows = with_doc_freq(counts, df, n)
     idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1 if smooth else F.log(F.lit(n) / F.col("df"))
     score = F.col("tf") / F.col("length") * idf if normalise else F.col("tf") * idf
     return rows.select("key", "word", "tf", "df", *(["length"] if normalise else []), score.alias("score"))
