@@ -177,7 +177,7 @@ QUERIES = {
     "graph_leaves": lambda s, f: G.leaves(edges(s, f), tops(s, f), max_depth=5),
     "graph_dag": lambda s, f: G.without_cycles(edges(s, f), tops(s, f)),
     "graph_equal": _same,
-    "set_cover_greedy": lambda s, f: G.greedy_cover(members(s, f).select(F.col("category").alias("name"), F.col("doc_id").alias("item")), limit=10),
+    "set_cover_greedy": lambda s, f: G.greedy_cover(members(s, f).select(F.col("category").alias("name"), F.col("doc_id").alias("item"))),
 }
 
 
