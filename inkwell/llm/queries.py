@@ -50,16 +50,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_statistics(spark, folder).where(~F.col("prose")).select("page_id")
 
 
+def _scores(spark: SparkSession, folder: str, **options: bool) -> DataFrame:
+    page = table(spark, folder, "page")
+    known = articles(page).withColumnRenamed("page_id", "key")
+    return term_scores(known, listed_words(table(spark, folder, "idf")), sample=page.where(F.col("text").isNotNull()), **options)
+
+
 def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
-    known = _articles(spark, folder).withColumnRenamed("page_id", "key")
-    scores = term_scores(known, listed_words(table(spark, folder, "idf")))
-    return scores.select(F.col("key").alias("page_id"), "word", "tf", "df", "length", F.round("score", 6).alias("score"))
+    return _scores(spark, folder).select(F.col("key").alias("page_id"), "word", "tf", "df", "length", F.round("score", 6).alias("score"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    known = _articles(spark, folder).withColumnRenamed("page_id", "key")
-    scores = term_scores(known, listed_words(table(spark, folder, "idf")), smooth=False, normalise=False)
-    return most_distinctive(scores).where("tf >= 4 AND df <= 3").select(F.col("key").alias("page_id"), "word")
+    best = most_distinctive(_scores(spark, folder, smooth=False, normalise=False))
+    return best.where("tf >= 4 AND df <= 3").select(F.col("key").alias("page_id"), "word")
 
 
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,11 +15,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def word_rows(records: DataFrame, key: str) -> DataFrame:
-    """key, word: the same in the JVM, one row per word. The empty strings at the ends of a split go by a plain filter."""
-    return records.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
-
-
 def listed_words(idf: DataFrame) -> DataFrame:
     """word: each distinct word of idf, trimmed and lower-cased; null and blank ones are ignored."""
     word = F.regexp_replace(F.lower("word"), r"(?U)^\s+|\s+$", "")
