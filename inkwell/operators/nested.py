@@ -19,7 +19,7 @@ from inkwell.functions.arrow import flat_map
 TABLES = {
     "page": ("page", "pages"),
     "revision": ("revision", "revisions"),
-    "section": ("section", "sections", "children"),
+    "section": ("sections", "children"),
     "note": ("note", "notes"),
 }
 SCHEMA = (

@@ -51,6 +51,17 @@ down AS (SELECT name, parent, name AS root, CAST(0 AS BIGINT) AS depth, name AS
   UNION ALL SELECT n.name, n.parent, d.root, d.depth + 1, d.path || ' / ' || n.name FROM nodes n JOIN down d ON n.parent = d.name)
 """
 
+# objects of the decoded payloads with their paths; the longest path that another continues is the nearest object around it
+SECTIONS_SQL = r"""
+opened AS (SELECT DISTINCT record_id, CAST(payload AS VARCHAR) AS p, 0 AS n FROM raw_record WHERE json_valid(payload)
+  UNION ALL SELECT record_id, json_extract_string(p, '$'), n + 1 FROM opened WHERE n < 8 AND json_type(p) = 'VARCHAR' AND json_valid(json_extract_string(p, '$'))),
+tree AS (SELECT record_id, t.fullkey, CAST(t.value AS VARCHAR) AS v, regexp_extract(t.fullkey, '\.([^.\[\]]+)(\[[0-9]+\])*$', 1) AS k
+  FROM opened, json_tree(CAST(p AS JSON)) t WHERE json_type(p) <> 'VARCHAR' AND t.type = 'OBJECT'),
+section AS (SELECT record_id, fullkey, CAST(json_extract(v, '$.id') AS BIGINT) AS id FROM tree WHERE k IN ('sections', 'children')),
+revision AS (SELECT record_id, fullkey, regexp_replace(json_extract_string(v, '$.sha1'), '\s', '', 'g') AS sha1 FROM tree WHERE k IN ('revision', 'revisions'))
+"""
+_AROUND = "{0}.record_id = s.record_id AND (starts_with(s.fullkey, {0}.fullkey || '.') OR starts_with(s.fullkey, {0}.fullkey || '['))"
+
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p5_found": p5_found, "p5_pages": p5_pages, "p5_sections": p5_sections}
 SQL = {
     "p1_found": f"WITH RECURSIVE {NAMES_SQL} SELECT n.name AS category, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth FROM nodes n LEFT JOIN down d ON n.name = d.name",
@@ -61,4 +72,7 @@ SQL = {
         SELECT n.name AS category, n.parent, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth,
           CASE WHEN d.name IS NULL THEN NULL ELSE coalesce(s.descendants, 0) END AS descendants, d.path
         FROM nodes n LEFT JOIN down d ON n.name = d.name LEFT JOIN sizes s ON n.name = s.above""",
+    "p5_found": f"""WITH RECURSIVE {SECTIONS_SQL} SELECT DISTINCT s.record_id,
+        (SELECT arg_max(r.sha1, length(r.fullkey)) FROM revision r WHERE {_AROUND.format("r")}) AS sha1, s.id AS section_id,
+        coalesce((SELECT arg_max(o.id, length(o.fullkey)) FROM section o WHERE {_AROUND.format("o")}), 0) AS parent_id FROM section s""",
 }
