@@ -120,7 +120,20 @@ QUERIES = {"p2_found": p2_found, "p2_marked": p2_marked, "p3_found": p3_found, "
            "p4_found": p4_found, "p4_statistics": p4_statistics, "p6_found": p6_found, "p6_scores": p6_scores,
            "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report,
            "p10_found": p10_found, "p10_sentences": p10_sentences}
+# what residue looks like in these tables, in RE2; written apart from the scanner's rules, as a check on them
+RESIDUE = {
+    "html": r"</?(?i:a|b|br|div|li|p|ref|span|sup|table|td|th|tr|ul)[\s>/]|<!--|&(?:lt|gt|amp|nbsp|#[0-9]+);",
+    "wiki": r"(?m)\[\[|\{\{|^[ \t]*\{\||\x27\x27|__[A-Z]+__|^[ \t]*={2,6} [^=\n\r]+ ={2,6}|\[https?://[^\s\]]+\s",
+    "markdown": r"(?m)\*\*\S|\S\*\*|~~|`|\]\(\S+[./]|\[\^[0-9]|^[ \t]*#{1,6} \S|^[ \t]*(?:={7,}|-{7,})|\|:?-{2,}:?\|",
+    "latex": r"\\[a-z]+\{|\\[(\[]|\$\$|\$[a-z]_[0-9]",
+}
+_RESIDUE = " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind FROM article WHERE regexp_matches(text, '{rule}')" for kind, rule in RESIDUE.items())
 SQL = {
+    "p3_found": f"WITH {ARTICLES} {_RESIDUE}",
+    # bytes stand for tokens: the answer is the same for any usual tokenizer
+    "p9_found": """WITH t AS (SELECT trim(lower(source)) AS source, sum(coalesce(strlen(text), 0)) AS b FROM documents GROUP BY 1)
+        SELECT trim(lower(m.source)) AS source FROM mix_target m LEFT JOIN t ON trim(lower(m.source)) = t.source
+        WHERE coalesce(b, 0) * max_repeats < target_share * (SELECT sum(b) FROM t)""",
     "p2_found": f"WITH {MARKED} SELECT word, mark FROM marked WHERE mark IS NOT NULL",
     "p2_marked": f"WITH {MARKED} SELECT * FROM marked",
     "p6_found": f"""WITH {SCORED}, best AS (SELECT page_id, word, tf, df, row_number() OVER (PARTITION BY page_id ORDER BY round(tf * ln(n / df), 9) DESC, word) AS r

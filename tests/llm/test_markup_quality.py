@@ -15,7 +15,8 @@ PROSE = "The old mill stands by the river, and it was built in 1850. Nobody in t
     ("{| class=\"x\"\n|-\n| 1 || 2\n|}", ["wiki"]),
     ("**a** b", ["markdown"]), ("[a](https://b.test/c)", ["markdown"]), ("![a](b.png)", ["markdown"]), ("end.[^3]", ["markdown"]), ("# Head\n\ntext", ["markdown"]),
     ("Head\n====\n\ntext", ["markdown"]), ("a `b` c", ["markdown"]), ("~~a~~ b", ["markdown"]), ("| a | b |\n|---|:--:|\n| 1 | 2 |", ["markdown"]), ("```\nx\n```", ["markdown"]),
-    ("text.\n==== A ====\nmore", ["wiki"]),
+    ("text.\n==== A ====\nmore", ["wiki"]), ("Head\n===\n\ntext", ["markdown"]), ("==== Long\nhead ====\n\ntext", ["wiki"]), ("==== <b\nid='x'>A</b>\n====", ["html"]),
+    ("A test such as a ==\nb or a != b was made.", []), ("a\n== b or a != b was made. A test such as a == b", []),
     ("$a_1 + b^2 = \\alpha$ holds", ["latex"]), ("\\emph{a", ["latex"]), ("see~\\cite{a1}", ["latex"]), ("\\(x \\leq 2\\)", ["latex"]), ("\\begin{equation}\nx\n\\end{equation}", ["latex"]),
     ("<b>[[a]]</b> **c** \\textbf{d}", ["html", "wiki", "markdown", "latex"]), ("", []),
 ])
