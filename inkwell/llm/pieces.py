@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 
 from inkwell.functions.arrow import flat_map
 
+#: Characters whose boundaries are indexed at a time.
+STRETCH = 1 << 20
 #: Boundary strengths.
 WORD_END, SENTENCE_END, PARAGRAPH_END = 1, 2, 3
 _LINE = r"(?>\r\n|\r|\n)"  # atomic: no \r\n is two line ends
@@ -77,12 +79,16 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """
     if len(text) <= limit:
         return [(0, len(text), PARAGRAPH_END)]
-    marks, start, found = Boundaries(text), 0, []
+    start, found = 0, []
     while len(text) - start > limit:
-        first = start + max(overlap + 1, limit // 2)
-        best = marks.strongest(first, start + limit) or marks.strongest(start + overlap + 1, start + limit) or (start + limit, 0)
-        found.append((start, *best))
-        start = best[0] - overlap
+        # the boundaries of a stretch are indexed at a time, so a text of any length needs bounded memory
+        base, stretch = start, text[start : start + max(STRETCH, 8 * limit)]
+        marks, whole = Boundaries(stretch), base + len(stretch) == len(text)
+        while len(text) - start > limit and (whole or start + 2 * limit <= base + len(stretch)):
+            at = start - base
+            best = marks.strongest(at + max(overlap + 1, limit // 2), at + limit) or marks.strongest(at + overlap + 1, at + limit) or (at + limit, 0)
+            found.append((start, base + best[0], best[1]))
+            start = base + best[0] - overlap
     found.append((start, len(text), PARAGRAPH_END))
     return found
 

@@ -27,6 +27,14 @@ def test_pieces_reassemble(text):
     assert text[: pieces[0][1]] + "".join(text[b - 0 : d] for (_, b, _), (_, d, _) in zip(pieces, pieces[1:])) == text
 
 
+def test_stretches_change_nothing(monkeypatch):
+    rnd = random.Random(6)
+    text = "".join(rnd.choice(["word ", "End. ", "para\n\n", "x" * 30]) for _ in range(9000))
+    whole = cut(text, 100, 10)
+    monkeypatch.setattr("inkwell.llm.pieces.STRETCH", 1000)
+    assert cut(text, 100, 10) == whole and len(whole) > 500
+
+
 def test_cuts_prefer_strong_boundaries():
     text = "First one. " * 100 + "\n\n" + "Second one. " * 100
     assert cut(text, 2000, 200)[0][1:] == (1102, 3)
