@@ -100,19 +100,33 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", ski
     return _best(found, k)
 
 
-def fit_cells(rows: DataFrame, cells: int, seed: int = 1, rounds: int = 12) -> np.ndarray:
-    """Centres of the cells by k-means on at most FIT_ROWS of rows(id, vector), those first by a hash of their id."""
+#: Queries on which the number of cells to probe is chosen, at most.
+TUNE_QUERIES = 200
+
+
+def fit_cells(rows: DataFrame, cells: int, k: int = 10, target: float = 0.95, seed: int = 1, rounds: int = 12) -> tuple[np.ndarray, int]:
+    """(centres, probes): centres of the cells by k-means, and how many cells to probe for a recall of about target.
+
+    Both are fitted on at most FIT_ROWS of rows(id, vector), those first by a hash of their id: probes is the least number
+    with which at most TUNE_QUERIES of them find the share target of their k nearest others among them.
+    """
     some = rows.select("vector", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(FIT_ROWS).toPandas()
     points = np.array(some.vector.tolist(), dtype=np.float64)
     if len(points) == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, 0)), 1
     centres = points[: min(cells, len(points))].copy()
     for _ in range(rounds):
         near = _distances(points, centres, "l2").argmin(axis=1)
         for c in range(len(centres)):
             if (near == c).any():
                 centres[c] = points[near == c].mean(axis=0)
-    return centres
+    home, asked = _distances(points, centres, "l2").argmin(axis=1), points[:TUNE_QUERIES]
+    distance = _distances(asked, points, "l2")
+    distance[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    nearest_home = home[np.argsort(distance, axis=1, kind="stable")[:, : min(k, max(1, len(points) - 1))]]
+    place = np.argsort(np.argsort(_distances(asked, centres, "l2"), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, nearest_home, axis=1).ravel()) + 1
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)])
 
 
 def nearest_by_cells(queries: DataFrame, rows: DataFrame, k: int, centres: np.ndarray, probes: int, metric: str = "l2", skip_self: bool = False) -> DataFrame:

@@ -60,8 +60,8 @@ def _rerank(spark, folder):
 
 def _ann(spark, folder):
     rows = vectors(spark, folder)
-    centres = V.fit_cells(rows, 16)
-    found = V.nearest_by_cells(_asked(rows), rows, K, centres, 10, "l2", skip_self=True)
+    centres, probes = V.fit_cells(rows, 16, K)
+    found = V.nearest_by_cells(_asked(rows), rows, K, centres, probes, "l2", skip_self=True)
     return found.withColumn("distance", F.round("distance", 6))
 
 

@@ -49,6 +49,10 @@ def test_query_without_sql_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_recall_of_the_approximate_index(spark):
+    assert QUERIES["ann_recall"](spark, "/root/testdata/sf0.01").head().recall >= 0.9
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 

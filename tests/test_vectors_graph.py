@@ -27,7 +27,9 @@ def test_nearest_is_exact_and_expressions_agree(spark):
 def test_cells_recall(spark):
     rows = points(spark, 800)
     asked = rows.where("id % 20 = 0")
-    found = V.nearest_by_cells(asked, rows, 10, V.fit_cells(rows, 16), 8, skip_self=True)
+    centres, probes = V.fit_cells(rows, 16)
+    assert 1 < probes < 16 and V.fit_cells(rows.limit(0), 16)[1] == 1
+    found = V.nearest_by_cells(asked, rows, 10, centres, probes, skip_self=True)
     assert V.recall(found, V.nearest(asked, rows, 10, skip_self=True)).head().recall >= 0.9
 
 
