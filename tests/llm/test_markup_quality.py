@@ -50,6 +50,26 @@ def test_markup_frame(spark):
     assert strip_markup(df, kinds_only=True).where("clean is not null").count() == 0 and strip_markup(df.limit(0)).count() == 0
 
 
+NAVIGATION = [
+    "[[Old mill|Mill]] [[River]] [[Town hall]] and [https://a.test/x the map of it]", "<a href='/a'>The mill and the river</a> or <a href='/b'>the hall in the town</a>",
+    "[Mill](http://a.test/m) · [River](http://a.test/r) · [Town](http://a.test/t)", "* [[Mill]]\n* [[River]]", "https://a.test/mill https://a.test/river",
+]
+
+
+@pytest.mark.parametrize("block", NAVIGATION)
+def test_link_block_inside_prose_is_bad(spark, block):
+    text = f"{PROSE} {PROSE}\n\n{block}\n\n{PROSE} See the [[mill]]. {PROSE}"
+    (row,) = strip_markup(spark.createDataFrame([(1, text)], "key bigint, text string")).collect()
+    assert [b.label for b in row.blocks] == ["good", "bad", "good"] and row.clean == clean(text)
+    assert not {"\x04", "\x05"} & set(row.clean)
+
+
+def test_prose_among_many_links_stays_good(spark):
+    text = "\n\n".join([NAVIGATION[0]] * 5 + [PROSE + " " + PROSE] + [NAVIGATION[1]] * 5)
+    (row,) = strip_markup(spark.createDataFrame([(1, text)], "key bigint, text string")).collect()
+    assert [b.label for b in row.blocks] == ["bad"] * 5 + ["good"] + ["bad"] * 5
+
+
 LONG = " ".join(f"The mill number {i} stands by the river, and it was built in {1800 + i} for a guild of {'abcdefghij'[i % 10] * 4}ers." for i in range(20))
 LIST = "\n".join(f"* word{i} thing" for i in range(20))
 TABLE = "\n".join(f"a{i} | {i}.5 | x{i} | -" for i in range(20))
