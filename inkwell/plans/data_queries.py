@@ -35,10 +35,18 @@ def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table_of(table(spark, folder, "raw_record"), "page")
 
 
+def p5_revisions(spark: SparkSession, folder: str) -> DataFrame:
+    return table_of(table(spark, folder, "raw_record"), "revision")
+
+
 def p5_sections(spark: SparkSession, folder: str) -> DataFrame:
     return table_of(table(spark, folder, "raw_record"), "section")
 
 
+def p5_notes(spark: SparkSession, folder: str) -> DataFrame:
+    return table_of(table(spark, folder, "raw_record"), "note")
+
+
 NAMES_SQL = """
 names AS (SELECT trim(regexp_replace(trim(regexp_replace(translate(n, '''"', ''), '[\\s_]+', ' ', 'g')), '^category:', '', 'i')) AS name
   FROM (SELECT category AS n FROM category_tree_table UNION ALL SELECT src FROM category_edge UNION ALL SELECT dst FROM category_edge) WHERE n IS NOT NULL GROUP BY 1),
@@ -62,7 +70,8 @@ revision AS (SELECT record_id, fullkey, regexp_replace(json_extract_string(v, '$
 """
 _AROUND = "{0}.record_id = s.record_id AND (starts_with(s.fullkey, {0}.fullkey || '.') OR starts_with(s.fullkey, {0}.fullkey || '['))"
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p5_found": p5_found, "p5_pages": p5_pages, "p5_sections": p5_sections}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
+           "p5_sections": p5_sections, "p5_notes": p5_notes}
 SQL = {
     "p1_found": f"WITH RECURSIVE {NAMES_SQL} SELECT n.name AS category, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth FROM nodes n LEFT JOIN down d ON n.name = d.name",
     "p1_hierarchy": f"""WITH RECURSIVE {NAMES_SQL},

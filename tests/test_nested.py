@@ -1,6 +1,10 @@
 import json
+from collections import Counter
+
+import pyarrow.parquet as pq
 
 from inkwell.operators.nested import decode, flatten_record, flatten_records, table_of
+from inkwell.plans.data_queries import QUERIES
 
 RECORD = {
     "wrap": [{"pages": [{"title": "T", "redirect": {"title": "R"}, "revision": {
@@ -51,3 +55,42 @@ def test_very_deep():
         inner = {"id": i, "sections": [inner]}
     rows = list(flatten_record(1, json.dumps({"page": {"revision": {"sha1": "s", "sections": inner}}})))
     assert len(sections(rows)) == 300 and max(r[5] for r in rows if r[1] == "section") == 299
+
+
+def walked(folder):
+    """(record_id, key, object, objects around it from the top) by plain recursion, each record once."""
+    found = []
+
+    def walk(record_id, key, value, around):
+        if isinstance(value, list):
+            for x in value:
+                walk(record_id, key, x, around)
+        elif isinstance(value, dict):
+            found.append((record_id, key, value, around))
+            for k, v in value.items():
+                walk(record_id, k, v, [*around, (key, value)])
+
+    for record_id, value in {(r["record_id"], r["payload"]) for r in pq.read_table(f"{folder}/raw_record.parquet").to_pylist()}:
+        try:
+            while isinstance(value, str):
+                value = json.loads(value)
+        except ValueError:
+            continue
+        walk(record_id, None, value, [])
+    return found
+
+
+def test_revisions_and_notes_of_all_records(spark, data):
+    objects = walked(data)
+    revisions, notes = QUERIES["p5_revisions"](spark, data).collect(), QUERIES["p5_notes"](spark, data).collect()
+    of = lambda *keys: [x for x in objects if x[1] in keys]
+    want = Counter((r, "".join(v["sha1"].split()) if v.get("sha1") else v.get("sha1")) for r, _, v, _ in of("revision", "revisions"))
+    assert Counter((r.record_id, r.sha1) for r in revisions) == want and want
+    want = Counter((r, v.get("id"), v.get("label"), next(o["id"] for k, o in reversed(a) if k in ("sections", "children"))) for r, _, v, a in of("note", "notes"))
+    assert Counter((r.record_id, r.id, r.heading, r.parent_id) for r in notes) == want and want
+
+
+def test_parents_are_rows_of_the_tables(spark, data):
+    tables = {kind: QUERIES[f"p5_{kind}s"](spark, data).collect() for kind in ("page", "revision", "section", "note")}
+    keys = {(kind, r.record_id, r.label) for kind, rows in tables.items() for r in rows}
+    assert all((r.parent_kind, r.record_id, r.parent_label) in keys for kind in ("revision", "section", "note") for r in tables[kind])
