@@ -26,6 +26,13 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     return forest.select(F.col("name").alias("category"), "parent", "root", "depth", "descendants", F.array_join("path", " / ").alias("path"))
 
 
+def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each category and each category below it. Paths hold the ancestors, so the work grows with the rows that come out."""
+    forest = category_forest(spark, folder, paths=True).where("depth > 0")
+    above = forest.select(F.col("name").alias("descendant"), "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth").cast("int"))).alias("place", "category"))
+    return above.select("category", "descendant", (F.col("depth") - F.col("place")).alias("distance"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = flatten_records(table(spark, folder, "raw_record"), ["record_id", "kind", "sha1", "id", "parent_id"])
     return rows.where(F.col("kind") == "section").select("record_id", "sha1", F.col("id").alias("section_id"), "parent_id").distinct()
@@ -70,7 +77,7 @@ revision AS (SELECT record_id, fullkey, regexp_replace(json_extract_string(v, '$
 """
 _AROUND = "{0}.record_id = s.record_id AND (starts_with(s.fullkey, {0}.fullkey || '.') OR starts_with(s.fullkey, {0}.fullkey || '['))"
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
            "p5_sections": p5_sections, "p5_notes": p5_notes}
 SQL = {
     "p1_found": f"WITH RECURSIVE {NAMES_SQL} SELECT n.name AS category, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth FROM nodes n LEFT JOIN down d ON n.name = d.name",
@@ -81,6 +88,10 @@ SQL = {
         SELECT n.name AS category, n.parent, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth,
           CASE WHEN d.name IS NULL THEN NULL ELSE coalesce(s.descendants, 0) END AS descendants, d.path
         FROM nodes n LEFT JOIN down d ON n.name = d.name LEFT JOIN sizes s ON n.name = s.above""",
+    "p1_descendants": f"""WITH RECURSIVE {NAMES_SQL},
+        up AS (SELECT name AS below, parent AS above, CAST(1 AS BIGINT) AS distance FROM down WHERE parent IS NOT NULL
+          UNION ALL SELECT u.below, n.parent, u.distance + 1 FROM up u JOIN nodes n ON u.above = n.name WHERE n.parent IS NOT NULL)
+        SELECT above AS category, below AS descendant, distance FROM up""",
     "p5_found": f"""WITH RECURSIVE {SECTIONS_SQL} SELECT DISTINCT s.record_id,
         (SELECT arg_max(r.sha1, length(r.fullkey)) FROM revision r WHERE {_AROUND.format("r")}) AS sha1, s.id AS section_id,
         coalesce((SELECT arg_max(o.id, length(o.fullkey)) FROM section o WHERE {_AROUND.format("o")}), 0) AS parent_id FROM section s""",

@@ -2,6 +2,7 @@ import random
 
 from inkwell.functions.names import category_name
 from inkwell.operators.hierarchy import hierarchy
+from inkwell.plans.data_queries import QUERIES
 
 NODES, EDGES = "name string", "src string, dst string"
 
@@ -68,3 +69,9 @@ def test_extra_columns_clash(spark):
     nodes = spark.createDataFrame([("a", 1, "q")], "name string, id int, root string")
     edges = spark.createDataFrame([("a", "b", 5)], "src string, dst string, depth int")
     assert {(r.name, r.root, r.depth) for r in hierarchy(nodes, edges).collect()} == {("a", "a", 0), ("b", "a", 1)}
+
+
+def test_descendants_agree_with_their_number(spark, data):
+    below = QUERIES["p1_descendants"](spark, data).groupBy("category").count().collect()
+    counted = QUERIES["p1_hierarchy"](spark, data).where("descendants > 0").collect()
+    assert {r.category: r["count"] for r in below} == {r.category: r.descendants for r in counted} and counted
