@@ -141,6 +141,14 @@ def _same(spark, folder):
     return G.same_graph(links, links.select("src", "dst").unionByName(links)).union(G.same_graph(links, links.where("src < dst")))
 
 
+def _resume_open(spark, folder):
+    """Pages of the files to be read again: a file is finished if its documents were loaded last after its last page arrived."""
+    pages = page(spark, folder).where("file IS NOT NULL").select("page_id", "file", "loaded_at")
+    arrived = pages.groupBy("file").agg(F.max("loaded_at").alias("arrived"))
+    loaded = table(spark, folder, "documents").groupBy("file").agg(F.max("loaded_at").alias("loaded"))
+    return U.resume(pages.select("page_id", "file").distinct(), arrived.join(loaded, "file").where("loaded >= arrived"), "file").select("page_id", "file")
+
+
 QUERIES = {
     "bad_vector_filter": lambda s, f: V.good_vectors(tree(s, f), "vector", CATEGORY_DIMS).groupBy("category").agg(F.count("*").alias("rows")),
     "knn_l2": _knn("l2"),
@@ -157,6 +165,7 @@ QUERIES = {
     "redirect_anti": _redirect_anti,
     "redirect_counts": lambda s, f: page(s, f).groupBy("file").agg(F.countDistinct(F.when(_redirect(), F.col("page_id"))).alias("redirects"), F.countDistinct(F.when(~_redirect(), F.col("page_id"))).alias("articles")),
     "resume_anti": lambda s, f: U.resume(page(s, f).select("page_id", "file"), page(s, f).where("page_id % 2 = 0").select("file"), "file").distinct(),
+    "resume_open": _resume_open,
     "codec_roundtrip": lambda s, f: table(s, f, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("packed"), (F.decode(F.unbase64(F.base64(F.encode("text", "UTF-8"))), "UTF-8") == F.col("text")).alias("same")),
     "category_norm": lambda s, f: tree(s, f).groupBy("category").agg(F.count("*").alias("rows")),
     "category_extract": _category_extract,
@@ -165,6 +174,7 @@ QUERIES = {
     "set_difference": lambda s, f: U.difference(_names(s, f)[0], _names(s, f)[1]),
     "set_intersect": lambda s, f: U.intersection(*_names(s, f)),
     "union_all": lambda s, f: members(s, f).where("doc_id % 2 = 0").unionByName(members(s, f).where("doc_id % 3 = 0")),
+    "union_names": lambda s, f: _names(s, f)[0].unionByName(_names(s, f)[1]),
     "filter_map": lambda s, f: U.filter_groups(members(s, f), articles(page(s, f)).select(F.col("page_id").alias("doc_id")), "category", "doc_id"),
     "subset_check": lambda s, f: U.subset_violations(members(s, f), page(s, f).select(F.col("page_id").alias("doc_id")).distinct(), "doc_id"),
     "coverage_gap": _coverage_gap,
@@ -220,6 +230,7 @@ SQL = {
     "redirect_anti": "WITH rows AS (SELECT page_id, file, regexp_replace(sha1, '\\s', '', 'g') AS sha1, regexp_matches(coalesce(redirect, ''), '\\S') AS r FROM page WHERE sha1 IS NOT NULL) SELECT page_id, sha1 FROM (SELECT DISTINCT page_id, file, sha1 FROM rows) a WHERE NOT EXISTS (SELECT 1 FROM rows b WHERE b.r AND a.file = b.file AND a.sha1 = b.sha1)",
     "redirect_counts": "SELECT file, count(DISTINCT page_id) FILTER (regexp_matches(coalesce(redirect, ''), '\\S')) AS redirects, count(DISTINCT page_id) FILTER (NOT regexp_matches(coalesce(redirect, ''), '\\S')) AS articles FROM page GROUP BY file",
     "resume_anti": "SELECT DISTINCT page_id, file FROM page a WHERE NOT EXISTS (SELECT 1 FROM page b WHERE b.page_id % 2 = 0 AND a.file = b.file)",
+    "resume_open": "SELECT DISTINCT page_id, file FROM page a WHERE file IS NOT NULL AND file NOT IN (SELECT p.file FROM (SELECT file, max(loaded_at) AS arrived FROM page GROUP BY file) p JOIN (SELECT file, max(loaded_at) AS loaded FROM documents GROUP BY file) d ON p.file = d.file WHERE loaded >= arrived)",
     "codec_roundtrip": "SELECT doc_id, to_base64(encode(text)) AS packed, decode(from_base64(to_base64(encode(text)))) = text AS same FROM documents",
     "category_norm": f"WITH {_TREE} SELECT category, count(*) AS rows FROM tree GROUP BY category",
     "category_extract": f"WITH {_ARTICLE}, lines AS (SELECT page_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM article), links AS (SELECT page_id, regexp_replace(line, '^\\[\\[|\\]\\]$', '', 'g') AS c FROM lines WHERE starts_with(line, '[[Category:') AND ends_with(line, ']]')) SELECT DISTINCT page_id, {_norm('c')} AS category FROM links",
@@ -228,6 +239,7 @@ SQL = {
     "set_difference": f"WITH {_TREE}, {_EDGES} SELECT node AS category FROM nodes WHERE node NOT IN (SELECT category FROM tree)",
     "set_intersect": f"WITH {_TREE}, {_EDGES} SELECT DISTINCT category FROM tree WHERE category IN (SELECT node FROM nodes)",
     "union_all": f"WITH {_MEMBERS} SELECT * FROM members WHERE doc_id % 2 = 0 UNION ALL SELECT * FROM members WHERE doc_id % 3 = 0",
+    "union_names": f"WITH {_TREE}, {_EDGES} SELECT DISTINCT category FROM tree UNION ALL SELECT node FROM nodes",
     "filter_map": f"WITH {_MEMBERS}, {_ARTICLE} SELECT category, count(page_id) AS items FROM members LEFT JOIN article ON doc_id = page_id GROUP BY category",
     "subset_check": f"WITH {_MEMBERS} SELECT DISTINCT doc_id FROM members WHERE NOT EXISTS (SELECT 1 FROM page WHERE page_id = doc_id)",
     "coverage_gap": f"WITH {_MEMBERS}, {_ARTICLE} SELECT page_id AS doc_id FROM article WHERE NOT EXISTS (SELECT 1 FROM members WHERE page_id = doc_id)",

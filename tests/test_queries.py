@@ -53,6 +53,14 @@ def test_recall_of_the_approximate_index(spark):
     assert QUERIES["ann_recall"](spark, "/root/testdata/sf0.01").head().recall >= 0.9
 
 
+def test_union_and_resume_take_whole_tables(spark, data, con):
+    names = QUERIES["union_names"](spark, data)
+    tree, linked = link_queries._names(spark, data)
+    assert names.count() == tree.count() + linked.count() > names.distinct().count()
+    files = con.execute("SELECT count(DISTINCT file) FROM page").fetchone()[0]
+    assert 0 < QUERIES["resume_open"](spark, data).select("file").distinct().count() < files
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
