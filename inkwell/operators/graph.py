@@ -77,8 +77,8 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return pairs
 
 
-def roll_up(edges: DataFrame, members: DataFrame, value: str = "doc_id") -> DataFrame:
-    """node, docs: how many distinct members(node, value) the node and all below it have.
+def held(edges: DataFrame, members: DataFrame, value: str = "doc_id") -> DataFrame:
+    """node, value: the distinct members(node, value) of each node and of all below it.
 
     Sets are handed up one level per round from the deepest nodes to their parents, so paths, not all pairs of
     ancestors and descendants, are walked. Needs edges without cycles, as without_cycles() gives.
@@ -90,7 +90,17 @@ def roll_up(edges: DataFrame, members: DataFrame, value: str = "doc_id") -> Data
         up = frontier.join(links, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), value).distinct()
         frontier = cut_lineage(up.join(total, ["node", value], "left_anti"))
         total = cut_lineage(total.unionByName(frontier))
-    return total.groupBy("node").agg(F.count("*").alias("docs"))
+    return total
+
+
+def roll_up(edges: DataFrame, members: DataFrame, value: str = "doc_id") -> DataFrame:
+    """node, docs: how many distinct members(node, value) the node and all below it have; edges as held() needs them."""
+    return held(edges, members, value).groupBy("node").agg(F.count("*").alias("docs"))
+
+
+def roll_up_words(edges: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
+    """node, word, tf: counts(doc_id, word, tf) merged over the distinct documents of the node and of all below it."""
+    return held(edges, members).join(counts, "doc_id").groupBy("node", "word").agg(F.sum("tf").alias("tf"))
 
 
 def same_graph(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -128,6 +128,12 @@ def _category_wordfreq(spark, folder):
     return members(spark, folder).join(counts, "doc_id").groupBy("category", "word").agg(F.sum("tf").alias("tf"))
 
 
+def _category_wordfreq_rollup(spark, folder):
+    counts = term_freq(articles(page(spark, folder)).withColumnRenamed("page_id", "doc_id"))
+    links = G.without_cycles(edges(spark, folder), tops(spark, folder))
+    return G.roll_up_words(links, members(spark, folder).withColumnRenamed("category", "node"), counts)
+
+
 def _coverage_gap(spark, folder):
     return articles(page(spark, folder)).select(F.col("page_id").alias("doc_id")).join(members(spark, folder).select("doc_id").distinct(), "doc_id", "left_anti")
 
@@ -181,6 +187,7 @@ QUERIES = {
     "coverage_count": lambda s, f: members(s, f).groupBy("category").agg(F.countDistinct("doc_id").alias("docs")).orderBy(F.desc("docs"), "category").limit(100),
     "category_wordfreq": _category_wordfreq,
     "category_rollup": lambda s, f: G.roll_up(G.without_cycles(edges(s, f), tops(s, f)), members(s, f).withColumnRenamed("category", "node")),
+    "category_wordfreq_rollup": _category_wordfreq_rollup,
     "graph_roots": tops,
     "graph_bfs": lambda s, f: G.levels(edges(s, f), tops(s, f), max_depth=5),
     "graph_depth": lambda s, f: G.node_depths(edges(s, f), tops(s, f)),
@@ -246,6 +253,7 @@ SQL = {
     "coverage_count": f"WITH {_MEMBERS} SELECT category, count(*) AS docs FROM members GROUP BY category ORDER BY docs DESC, category LIMIT 100",
     "category_wordfreq": f"WITH {_MEMBERS}, {_ARTICLE}, token AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM article), tf AS (SELECT doc_id, word, count(*) AS tf FROM token GROUP BY ALL) SELECT category, word, CAST(sum(tf) AS BIGINT) AS tf FROM members JOIN tf USING (doc_id) GROUP BY ALL",
     "category_rollup": f"WITH RECURSIVE {_EDGES}, {_WALK}, {_DAG}, {_MEMBERS}, up AS (SELECT category AS node, doc_id FROM members UNION SELECT d.src, u.doc_id FROM up u JOIN dag d ON u.node = d.dst) SELECT node, count(*) AS docs FROM up GROUP BY node",
+    "category_wordfreq_rollup": f"WITH RECURSIVE {_EDGES}, {_WALK}, {_DAG}, {_MEMBERS}, {_ARTICLE}, up AS (SELECT category AS node, doc_id FROM members UNION SELECT d.src, u.doc_id FROM up u JOIN dag d ON u.node = d.dst), token AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM article), tf AS (SELECT doc_id, word, count(*) AS tf FROM token GROUP BY ALL) SELECT node, word, CAST(sum(tf) AS BIGINT) AS tf FROM up JOIN tf USING (doc_id) GROUP BY ALL",
     "graph_roots": f"WITH {_EDGES} SELECT node FROM tops",
     "graph_bfs": f"WITH RECURSIVE {_EDGES}, {_WALK} SELECT node, depth FROM levels WHERE depth <= 5",
     "graph_depth": f"WITH RECURSIVE {_EDGES}, {_WALK} SELECT n.node, coalesce(depth, -1) AS depth FROM nodes n LEFT JOIN levels l ON n.node = l.node",

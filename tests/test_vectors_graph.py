@@ -91,3 +91,11 @@ def test_sets(spark):
     groups = spark.createDataFrame([("g", "a"), ("h", "z"), ("g", "a")], "k string, v string")
     assert {tuple(r) for r in U.filter_groups(groups, a, "k", "v").collect()} == {("g", 1), ("h", 0)}
     assert [r.v for r in U.subset_violations(groups, a, "v").collect()] == ["z"]
+
+
+def test_words_rolled_up_once_per_document(spark):
+    edges = spark.createDataFrame([("top", "a"), ("top", "b"), ("a", "c"), ("b", "c")], "src string, dst string")
+    members = spark.createDataFrame([("c", 1), ("a", 1), ("b", 2)], "node string, doc_id bigint")
+    counts = spark.createDataFrame([(1, "x", 3), (2, "x", 4), (2, "y", 1)], "doc_id bigint, word string, tf bigint")
+    got = {tuple(r) for r in G.roll_up_words(edges, members, counts).collect()}
+    assert got == {("c", "x", 3), ("a", "x", 3), ("b", "x", 7), ("b", "y", 1), ("top", "x", 7), ("top", "y", 1)}
