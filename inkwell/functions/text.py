@@ -21,6 +21,7 @@ STOP_WORDS = (
 SUPERSCRIPTS, SUBSCRIPTS, DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉", "0123456789"
 #: Signs that vanish, and the other signs of ASCII, which become a space.
 DROPPED, SPACED = ",'", "!\"#$%&()*+-./:;<=>?@[\\]^_`{|}~"
+# Fixed values of Unicode.
 #: Runs of enclosed numbers: first code point, first number, how many.
 ENCLOSED = (
     (0x2460, 1, 20), (0x3251, 21, 15), (0x32B1, 36, 15), (0x24EA, 0, 1), (0x24F5, 1, 10), (0x2780, 1, 10),

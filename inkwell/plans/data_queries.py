@@ -34,8 +34,8 @@ def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = flatten_records(table(spark, folder, "raw_record"), ["record_id", "kind", "sha1", "id", "parent_id"])
-    return rows.where(F.col("kind") == "section").select("record_id", "sha1", F.col("id").alias("section_id"), "parent_id").distinct()
+    rows = flatten_records(table(spark, folder, "raw_record"), ["record_id", "sha1", "id", "parent_id"], ("section",))
+    return rows.withColumnRenamed("id", "section_id").distinct()
 
 
 def p5_pages(spark: SparkSession, folder: str) -> DataFrame:

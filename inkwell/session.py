@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting of a session: into how many parts tables of texts are spread by their key as they are read; unset, as they lie.
+SPREAD = "spark.inkwell.spread"
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. Clusters bring their own."""
@@ -15,6 +18,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config(SPREAD, str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,10 +28,25 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the folder of spark.checkpoint.dir and read it back, so a lost executor loses no result.
 
-    The folder is set to a temporary one only where the session names none, as in tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in which lineage is cut and tables are kept: the session's, or that of spark.checkpoint.dir.
+
+    Where neither is set, a local session, as in tests, gets a temporary one. On a cluster that folder would be another
+    on every machine, so there it is an error.
+    """
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="inkwell-")
+        context.setCheckpointDir(folder)
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import SPREAD
 
 #: Tables with long texts, and their keys.
 KEYS = {"documents": "doc_id", "page": "page_id", "raw_record": "record_id"}
@@ -13,14 +14,12 @@ KEYS = {"documents": "doc_id", "page": "page_id", "raw_record": "record_id"}
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table name of folder. Columns are pruned and filters pushed down by the scan.
 
-    A table of texts in so few files that half of the cores would idle is spread by its key, which later groupings by
-    that key then need not do again. Larger tables are read as they lie.
+    Tables are read as they lie. A session whose texts come in too few files for its cores may ask by the setting
+    spark.inkwell.spread to have them spread by their keys, which later groupings by that key then need not do again.
     """
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in KEYS and 2 * rows._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        rows = rows.repartition(cores, KEYS[name])
-    return rows
+    spread = int(spark.conf.get(SPREAD, "0"))
+    return rows.repartition(spread, KEYS[name]) if spread > 0 and name in KEYS else rows
 
 
 def articles(page: DataFrame) -> DataFrame:

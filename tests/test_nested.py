@@ -2,8 +2,11 @@ import json
 from collections import Counter
 
 import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from inkwell.operators.nested import decode, flatten_record, flatten_records, table_of
+from inkwell.operators.nested import KEYS, TABLES, decode, flatten_record, flatten_records, parse, table_of, tables_of
 from inkwell.plans.data_queries import QUERIES
 
 RECORD = {
@@ -49,12 +52,46 @@ def test_tables(spark):
     assert flatten_records(df.limit(0)).count() == 0
 
 
-def test_very_deep():
-    inner = {"id": 0}
-    for i in range(1, 300):
-        inner = {"id": i, "sections": [inner]}
-    rows = list(flatten_record(1, json.dumps({"page": {"revision": {"sha1": "s", "sections": inner}}})))
-    assert len(sections(rows)) == 300 and max(r[5] for r in rows if r[1] == "section") == 299
+@pytest.mark.parametrize("depth", [300, 50_000])
+def test_very_deep(depth):
+    text = '{"page": {"revision": {"sha1": "s", "sections": ' + "".join(f'{{"id": {i}, "sections": [' for i in range(depth)) + "]}" * depth + "}}}"
+    rows = list(flatten_record(1, text, ["sha1", "id", "parent_id"], ("section",)))
+    assert rows == [("s", i, max(0, i - 1)) for i in range(depth)]
+    for _ in range(10 if depth < 1000 else 1):
+        text = json.dumps(text)
+    assert len(list(flatten_record(1, text, ["id"], ("section",)))) == depth
+    assert decode(text[:-3]) is None
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=20)
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON, st.integers(0, 30), st.sampled_from(["", ",", "}", "]", '"', "1", " "]))
+def test_parser_agrees_with_json(value, cut, more):
+    text = json.dumps(value, indent=cut % 3 or None)
+    assert parse(text) == value
+    damaged = text[:cut] + more + text[cut + 1 :]
+    try:
+        want = json.loads(damaged)
+    except ValueError:
+        with pytest.raises(ValueError):
+            parse(damaged)
+    else:
+        assert repr(parse(damaged)) == repr(want)
+
+
+def test_odd_numbers_and_texts():
+    text = '{"page": {"title": "a\\ud800b", "revision": {"sha1": 7, "sections": [{"id": 1e400}, {"id": "\u00b2"}, {"id": " 12 "}, {"id": 3.0}, {"id": 99999999999999999999}, {"id": NaN}, {"id": true}]}}}'
+    assert [r[0] for r in flatten_record(1, text, ["id"], ("section",))] == [None, None, 12, 3, None, None, None]
+    assert [r[0] for r in flatten_record(1, text, ["title"], ("page",))] == ["a\ufffdb"]
+
+
+def test_all_tables_from_one_reading(spark, data):
+    records = spark.read.parquet(f"{data}/raw_record.parquet")
+    for kind, rows in tables_of(records).items():
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, table_of(records, kind).collect()))
+    assert set(tables_of(records)) == set(TABLES) and set(KEYS) <= set(rows.columns)
 
 
 def walked(folder):
