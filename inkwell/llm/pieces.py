@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from inkwell.functions.arrow import flat_map
 
-#: Characters whose boundaries are indexed at a time.
-STRETCH = 1 << 20
+#: Boundaries that are indexed at a time.
+STRETCH = 1 << 18
 #: Boundary strengths.
 WORD_END, SENTENCE_END, PARAGRAPH_END = 1, 2, 3
 _LINE = r"(?>\r\n|\r|\n)"  # atomic: no \r\n is two line ends
@@ -31,65 +31,83 @@ PIECES = "key bigint, piece_no bigint, piece_start bigint, piece_end bigint, str
 
 
 class Boundaries:
-    """Positions at which a text may be cut, with a range-maximum index over their strengths."""
+    """Positions at which a text may be cut, with a range-maximum index over their strengths.
+
+    Paragraph boundaries are where the next paragraph begins, so they part the text into paragraphs as well. The index
+    is a sparse table; of long texts it is built over one stretch of boundaries at a time, as cutting moves on.
+    """
 
     def __init__(self, text: str) -> None:
-        strength: dict[int, int] = {}
-        for rule, value in ((_WORD, WORD_END), (_SENTENCE, SENTENCE_END), (_PARAGRAPH, PARAGRAPH_END)):
-            for m in rule.finditer(text):
-                strength[m.end()] = value
-        self.at = sorted(p for p in strength if 0 < p < len(text))
-        # the position breaks ties, so that the maximum is unique and the rightmost
-        level = np.array([strength[p] for p in self.at], dtype=np.int64) * (len(self.at) + 1) + np.arange(len(self.at))
-        self.table = [level]
-        width = 1
-        while 2 * width <= len(self.at):
+        self.text = text
+        ends = [np.fromiter((m.end() for m in rule.finditer(text)), dtype=np.int64) for rule in (_WORD, _SENTENCE, _PARAGRAPH)]
+        at = np.concatenate(ends)
+        strength = np.repeat(np.array([WORD_END, SENTENCE_END, PARAGRAPH_END], dtype=np.int8), [len(x) for x in ends])
+        order = np.lexsort((strength, at))
+        at, strength = at[order], strength[order]
+        last = np.append(at[1:] != at[:-1], True)[: len(at)] & (at < len(text))  # the strongest of each position
+        self.at, self.strength = at[last], strength[last]
+        self.first, self.table = 0, []
+        self.build(0)
+
+    def build(self, first: int) -> None:
+        """The sparse table over the STRETCH boundaries from the one numbered first."""
+        part = self.strength[first : first + STRETCH].astype(np.int64)
+        # the place breaks ties, so that the maximum is unique and the rightmost
+        self.first, self.table, width = first, [part * STRETCH + np.arange(len(part))], 1
+        while 2 * width <= len(part):
             below = self.table[-1]
             self.table.append(np.maximum(below[:-width], below[width:]))
             width *= 2
 
     def strongest(self, low: int, high: int) -> tuple[int, int] | None:
         """(position, strength) of the strongest boundary in [low, high], the last of equals; None if there is none."""
-        i, j = bisect_left(self.at, low), bisect_right(self.at, high)
+        i, j = int(self.at.searchsorted(low)), int(self.at.searchsorted(high, "right"))
         if i >= j:
             return None
-        k = (j - i).bit_length() - 1
-        best = max(int(self.table[k][i]), int(self.table[k][j - (1 << k)]))
-        value, index = divmod(best, len(self.at) + 1)
-        return self.at[index], value
-
-
-def paragraph_spans(text: str) -> Iterable[tuple[int, int]]:
-    """(start, end) of each run of lines that aren't blank, from its first to its last character that isn't blank."""
-    start = 0
-    for m in [*_PARAGRAPH.finditer(text), None]:
-        end = m.start() if m else len(text)
-        part = text[start:end]
-        left = len(part) - len(part.lstrip(_EDGE))
-        body = part.strip(_EDGE)
-        if body:
-            yield start + left, start + left + len(body)
-        start = m.end() if m else end
-
-
-def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+        best = (0, 0)
+        for a in range(i, j, STRETCH):  # more than one stretch only for windows of more than STRETCH boundaries
+            b = min(j, a + STRETCH)
+            if a < self.first or b > self.first + len(self.table[0]):
+                self.build(a)
+            k = (b - a).bit_length() - 1
+            here = max(int(self.table[k][a - self.first]), int(self.table[k][b - self.first - (1 << k)]))
+            value, place = divmod(here, STRETCH)
+            if value >= best[1]:
+                best = (int(self.at[self.first + place]), value)
+        return best
+
+    def paragraphs(self) -> Iterable[tuple[int, int]]:
+        """(start, end) of each run of lines that aren't blank, from its first to its last character that isn't blank."""
+        start = 0
+        for end in [*self.at[self.strength == PARAGRAPH_END].tolist(), len(self.text)]:
+            part = self.text[start:end]
+            left = len(part) - len(part.lstrip(_EDGE))
+            body = part.strip(_EDGE)
+            if body:
+                yield start + left, start + left + len(body)
+            start = end
+
+    def oversized(self, limit: int) -> list[int]:
+        """The numbers, from 1, of the paragraphs longer than limit: no window from their start holds a paragraph boundary."""
+        long = []
+        for n, (a, b) in enumerate(self.paragraphs(), 1):
+            best = self.strongest(a + 1, a + limit)
+            if (best is None or best[1] < PARAGRAPH_END) and b - a > limit:  # the last paragraph has no boundary behind it
+                long.append(n)
+        return long
+
+
+def cut(marks: Boundaries, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the boundary at the end) of the pieces; 0 where no boundary was in reach.
 
     The window of a cut is the second half of the piece at first, then, if it has no boundary, all that still leads on.
     """
-    if len(text) <= limit:
-        return [(0, len(text), PARAGRAPH_END)]
-    start, found = 0, []
-    while len(text) - start > limit:
-        # the boundaries of a stretch are indexed at a time, so a text of any length needs bounded memory
-        base, stretch = start, text[start : start + max(STRETCH, 8 * limit)]
-        marks, whole = Boundaries(stretch), base + len(stretch) == len(text)
-        while len(text) - start > limit and (whole or start + 2 * limit <= base + len(stretch)):
-            at = start - base
-            best = marks.strongest(at + max(overlap + 1, limit // 2), at + limit) or marks.strongest(at + overlap + 1, at + limit) or (at + limit, 0)
-            found.append((start, base + best[0], best[1]))
-            start = base + best[0] - overlap
-    found.append((start, len(text), PARAGRAPH_END))
+    size, start, found = len(marks.text), 0, []
+    while size - start > limit:
+        best = marks.strongest(start + max(overlap + 1, limit // 2), start + limit) or marks.strongest(start + overlap + 1, start + limit) or (start + limit, 0)
+        found.append((start, *best))
+        start = best[0] - overlap
+    found.append((start, size, PARAGRAPH_END))
     return found
 
 
@@ -108,8 +126,12 @@ def split_texts(texts: DataFrame, limit: int = 2_000, overlap: int = 200, with_t
         def work(key: int | None, text: str | None) -> Iterable[tuple]:
             if text is None:
                 return
-            long = [n for n, (a, b) in enumerate(paragraph_spans(text), 1) if b - a > limit] if len(text) > limit else []
-            for n, (a, b, strength) in enumerate(cut(text, limit, overlap), 1):
+            if len(text) <= limit:
+                yield key, 1, 0, len(text), PARAGRAPH_END, text if with_text else None, []
+                return
+            marks = Boundaries(text)
+            long = marks.oversized(limit)
+            for n, (a, b, strength) in enumerate(cut(marks, limit, overlap), 1):
                 yield key, n, a, b, strength, text[a:b] if with_text else None, long if n == 1 else None
 
         return work

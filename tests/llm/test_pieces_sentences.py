@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from inkwell.llm.pieces import Boundaries, cut, paragraph_spans, split_texts
+from inkwell.llm.pieces import Boundaries, cut, split_texts
 from inkwell.llm.sentences import SentenceAutomaton, split_sentences
 
 
@@ -20,7 +20,7 @@ def test_range_maximum_against_brute_force():
 
 @pytest.mark.parametrize("text", ["", "x", "word " * 900, "a" * 9000, "Long sentence here. " * 400, ("para one.\n\n" + "p" * 1700 + "\r\n\r\n") * 4, "汉字。" * 2000, "\n" * 5000])
 def test_pieces_reassemble(text):
-    pieces = cut(text, 2000, 200)
+    pieces = cut(Boundaries(text), 2000, 200)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     assert all(b - a <= 2000 for a, b, _ in pieces)
     assert all(a2 == b - 200 for (_, b, _), (a2, _, _) in zip(pieces, pieces[1:]))
@@ -30,21 +30,31 @@ def test_pieces_reassemble(text):
 def test_stretches_change_nothing(monkeypatch):
     rnd = random.Random(6)
     text = "".join(rnd.choice(["word ", "End. ", "para\n\n", "x" * 30]) for _ in range(9000))
-    whole = cut(text, 100, 10)
-    monkeypatch.setattr("inkwell.llm.pieces.STRETCH", 1000)
-    assert cut(text, 100, 10) == whole and len(whole) > 500
+    whole = cut(Boundaries(text), 100, 10)
+    monkeypatch.setattr("inkwell.llm.pieces.STRETCH", 7)
+    assert cut(Boundaries(text), 100, 10) == whole and len(whole) > 500
 
 
 def test_cuts_prefer_strong_boundaries():
     text = "First one. " * 100 + "\n\n" + "Second one. " * 100
-    assert cut(text, 2000, 200)[0][1:] == (1102, 3)
-    assert {s for _, _, s in cut("word " * 2000, 2000, 200)[:-1]} == {1} and {s for _, _, s in cut("x" * 5000, 2000, 200)[:-1]} == {0}
+    assert cut(Boundaries(text), 2000, 200)[0][1:] == (1102, 3)
+    assert {s for _, _, s in cut(Boundaries("word " * 2000), 2000, 200)[:-1]} == {1} and {s for _, _, s in cut(Boundaries("x" * 5000), 2000, 200)[:-1]} == {0}
 
 
 def test_paragraphs():
     text = " \t\n  a b \r\n c \r\n\r\n\xa0\n\rd\r\re\nf"
-    assert [text[a:b] for a, b in paragraph_spans(text)] == ["a b \r\n c", "d", "e\nf"]
-    assert list(paragraph_spans("")) == [] == list(paragraph_spans(" \n\xa0\n"))
+    assert [text[a:b] for a, b in Boundaries(text).paragraphs()] == ["a b \r\n c", "d", "e\nf"]
+    assert list(Boundaries("").paragraphs()) == [] == list(Boundaries(" \n\xa0\n").paragraphs())
+
+
+def test_oversized_paragraphs_come_from_the_boundaries(monkeypatch):
+    rnd = random.Random(8)
+    for _ in range(40):
+        text = "".join(rnd.choice(["word ", "End. ", "\n\n", "\r\n \xa0\n", "x" * 30, "\n"]) for _ in range(300))
+        marks = Boundaries(text)
+        assert marks.oversized(60) == [n for n, (a, b) in enumerate(marks.paragraphs(), 1) if b - a > 60]
+    monkeypatch.setattr(Boundaries, "strongest", lambda self, low, high: (high, 3))
+    assert Boundaries("x" * 5000).oversized(2000) == []
 
 
 def test_piece_frame(spark):
