@@ -1,7 +1,9 @@
 """Sentence units of texts in many languages and scripts.
 
-A pushdown automaton reads the terminators, quotes, brackets, blank lines and spaces between Thai letters of a text.
-Open quotes and brackets are its stack: no unit ends inside one. A full stop is looked up, backwards, in a trie of
+A pushdown automaton reads the terminators, quotes, brackets, list entries, blank lines and spaces between Thai letters
+of a text. Its stack holds the list levels it is in and the open quotes and brackets: no unit ends inside one of these,
+and the stop behind an entry's number ends none. Only marks that are closed before the next blank line open anything, so
+one that is never closed, or a sign for inches, swallows no text. A full stop is looked up, backwards, in a trie of
 abbreviations; each kind of abbreviation says what must follow for the stop to end a unit all the same. Positions are
 those of the text as it stands, counted in code points from 1.
 """
@@ -40,11 +42,14 @@ CLOSERS = frozenset("”»›」』)]）】》")
 QUOTES = frozenset('"“„«‹「『')
 
 _EVENT = re.compile(
-    r"(?P<stop>[.!?…。！？｡।॥؟۔]+)"
+    r"(?P<entry>(?:(?<=[\r\n])|\A)[ \t]*(?:\d{1,3}[.)]|[-*•+])(?=[ \t]+\S))"
+    r"|(?P<stop>[.!?…。！？｡।॥؟۔]+)"
     r"|(?P<mark>[\"“”„«»‹›「」『』()\[\]（）【】《》])"
     r"|(?P<blank>(?>\r\n|\r|\n)[^\S\r\n]*(?>\r\n|\r|\n)\s*)"
     r"|(?P<thai>(?<=[฀-๿]) +(?=\S)|(?<=[0-9.]) +(?=[฀-๿0-9]))"
 )
+_ENTRY = re.compile(r"[ \t]*(?:\d{1,3}[.)]|[-*•+])[ \t]+\S")
+_DATES = tuple(THAI_DATES)
 _SPACE = re.compile(r"\s*")
 _NEXT = re.compile(r"[^\W\d_]+")
 _FULL_WIDTH = frozenset("。！？｡")
@@ -79,6 +84,8 @@ class SentenceAutomaton:
                 return 0
         elif "." in token and len(token) >= 3 and all(len(x) == 1 and x.isupper() for x in token.split(".")):
             return CAPITAL
+        elif token == "me":  # a title only with a capital
+            return 0
         node = self.trie
         for c in reversed(token.lower()):
             node = node.get(c)
@@ -92,8 +99,7 @@ class SentenceAutomaton:
         if after >= len(text):
             return True
         left = start
-        low = max(unit, start - 24)
-        while left > low and not text[left - 1].isspace():
+        while left > unit and not text[left - 1].isspace():
             left -= 1
         token = text[left:start].lstrip(_LEAD)
         follow = text[after]
@@ -126,9 +132,50 @@ class SentenceAutomaton:
                 continue
         return c.isalpha() and not c.islower() or c.isspace()
 
+    @staticmethod
+    def pairs(text: str, events: list[re.Match]) -> dict[int, int]:
+        """Where the quotes and brackets open that are closed in the same paragraph, and where each of them closes."""
+        found: dict[int, int] = {}
+        stack: list[tuple[str, int]] = []  # closing mark, place of the opening one
+        for m in events:
+            if m.lastgroup == "blank":
+                stack.clear()
+            elif m.lastgroup == "mark":
+                mark, at = m.group(), m.start()
+                if any(mark == close for close, _ in stack):
+                    while stack:
+                        close, opened = stack.pop()
+                        if close == mark:
+                            found[opened] = at
+                            break
+                elif mark not in CLOSERS and not (mark == '"' and at and text[at - 1].isalnum()):
+                    stack.append(('"' if mark == '"' else PAIRS.get(mark, "”"), at))
+        return found
+
+    @staticmethod
+    def enters(entry: re.Match, levels: list[list[int]]) -> bool:
+        """Does entry begin an entry of a list? Then levels, (indent, number) from the outermost, say where it stands."""
+        sign = entry.group()
+        indent = len(sign) - len(sign.lstrip())
+        while levels and levels[-1][0] > indent:
+            levels.pop()
+        number = int(sign.strip()[:-1]) if sign[-1] in ".)" else -1
+        if levels and levels[-1][0] == indent and (number < 0 or number == levels[-1][1] + 1):
+            levels[-1][1] = number
+            return True
+        if number > 1:
+            return False
+        if levels and levels[-1][0] == indent:
+            levels.pop()
+        levels.append([indent, number])
+        return True
+
     def ends(self, text: str) -> list[int]:
         found: list[int] = []
-        stack: list[tuple[str, bool]] = []  # closing mark, and whether a colon stands before the opening one
+        events = list(_EVENT.finditer(text))
+        closing = self.pairs(text, events) if any(m.lastgroup == "mark" for m in events) else {}
+        levels: list[list[int]] = []  # the lower part of the stack: list levels
+        stack: list[tuple[int, bool]] = []  # the upper part: where a quote or bracket closes, whether a colon stands before it
         unit = _SPACE.match(text).end()
         inner = -1  # where the last stop inside a quote or bracket ended
 
@@ -137,13 +184,19 @@ class SentenceAutomaton:
             found.append(end)
             unit, inner = _SPACE.match(text, end).end(), -1
 
-        for m in _EVENT.finditer(text):
+        for m in events:
             at, end = m.span()
             kind = m.lastgroup
+            if kind == "entry":
+                if self.enters(m, levels) or m.group()[-1] != ".":
+                    continue
+                at, kind = end - 1, "stop"  # a number at the beginning of a line and its stop
             if at < unit and kind != "blank":
                 continue  # white space already passed
             if kind == "blank":
                 stack.clear()
+                if levels and not _ENTRY.match(text, end):
+                    levels.clear()
                 last = at
                 while last > unit and text[last - 1].isspace():
                     last -= 1
@@ -157,20 +210,19 @@ class SentenceAutomaton:
                 if self.ends_here(text, at, end, unit):
                     close(end)
             elif kind == "mark":
-                mark = m.group()
-                if stack and mark == stack[-1][0]:
+                if stack and at == stack[-1][0]:
                     _, colon = stack.pop()
                     touching = inner >= 0 and not text[inner:at].strip()
                     inner = -1
-                    if touching and not stack and self.quote_ends(text, end, mark, colon):
+                    if touching and not stack and self.quote_ends(text, end, m.group(), colon):
                         close(end)
                     elif touching and stack:
                         inner = end
-                elif mark in CLOSERS:
-                    continue
-                else:
-                    before = text[max(unit, at - 3) : at].rstrip()
-                    stack.append(('"' if mark == '"' else PAIRS.get(mark, "”"), before[-1:] in (":", "：")))
+                elif at in closing:
+                    before = at
+                    while before > unit and text[before - 1].isspace():
+                        before -= 1
+                    stack.append((closing[at], text[before - 1 : before] in (":", "：") and before > unit))
                     inner = -1
             elif not stack and self.thai_space(text, at, end):
                 close(at)
@@ -214,13 +266,13 @@ class SentenceAutomaton:
     @staticmethod
     def thai_space(text: str, at: int, end: int) -> bool:
         """Does the space text[at:end] next to a Thai letter end a unit? Not inside a date."""
-        before, after = text[max(0, at - 12) : at], text[end : end + 12]
-        if after.startswith(tuple(THAI_DATES)):
+        after = text[end : end + 1]
+        if text.startswith(_DATES, end):
             return False
-        if after[:1].isdigit() and before.endswith((*THAI_DATES, "วันที่", "ปี")):
+        if after.isdigit() and text.endswith((*_DATES, "วันที่", "ปี"), 0, at):
             return False
-        if before[-1].isdigit() or before[-1] == ".":
-            return "฀" <= after[:1] <= "๿" and before[-1] != "."
+        if text[at - 1].isdigit() or text[at - 1] == ".":
+            return "฀" <= after <= "๿" and text[at - 1] != "."
         return True
 
 

@@ -106,10 +106,38 @@ def test_thai_blank_lines_and_edges():
     assert [text[:e] for e in SentenceAutomaton().ends(text)] == ["สะพานหินในปี พ.ศ. 1811", "สะพานหินในปี พ.ศ. 1811 สะพานสูง40.97เมตร", text]
     assert SentenceAutomaton().ends("Head\n \nA b\nc. D \r\n\r\ncut off wh") == [4, 13, 15, 30]
     assert SentenceAutomaton().ends("") == [] == SentenceAutomaton().ends(" \n\n ") and ends("no stop at all") == ["no stop at all"]
-    assert SentenceAutomaton().ends('He said "never closed. A b.\n\nNext one. Last') == [27, 38, 43]
+    assert SentenceAutomaton().ends('He said "never closed. A b.\n\nNext one. Last') == [22, 27, 38, 43]
     assert len(SentenceAutomaton().ends("Red cat. " * 20_000)) == 20_000
 
 
+@pytest.mark.parametrize("units", [
+    ["He left (as usual.", "It rained.", "Then he slept.", "The end."],
+    ['The board is 5" wide.', "It is old.", "“Never closed.", "So it goes (on and on."],
+    ["It was (so he said (twice. Or more.) to me.", "Then he went.", 'The "best" was 6" long.', '"All of it. Now!" he cried.'],
+    ["„Das ist (so. Ja.) klar“, sagte er.", "Er ging.", "Man sah 「nichts.", "Ende."],
+])
+def test_unclosed_marks_swallow_nothing(units):
+    text, begin, found = " ".join(units), 0, []
+    for end in SentenceAutomaton().ends(text):
+        found.append(text[begin:end].strip())
+        begin = end
+    assert found == units
+
+
+def test_list_levels():
+    text = "We need:\n1. red apples. Ripe ones.\n  1. two kilos\n  2. or three.\n2. pears.\n\n3. plums\n\nIn\n1976. That was it. It was in\n3. So."
+    begin, found = 0, []
+    for end in SentenceAutomaton().ends(text):
+        found.append(text[begin:end].strip())
+        begin = end
+    assert found == ["We need:\n1. red apples.", "Ripe ones.", "1. two kilos\n  2. or three.", "2. pears.", "3. plums", "In\n1976.", "That was it.", "It was in\n3.", "So."]
+
+
+def test_long_tokens_and_many_marks_take_linear_time():
+    assert SentenceAutomaton().ends("a." * 200_000 + " B c.") == [400_005] or SentenceAutomaton().ends("a." * 200_000 + " B c.")[-1] == 400_005
+    assert SentenceAutomaton().ends("(" * 100_000 + " x. Y z.")[-1] == 100_008
+
+
 def test_sentence_frame(spark):
     df = spark.createDataFrame([(1, " An ox. So do! ", 1), (2, None, 1), (3, "", 1), (1, " An ox. So do! ", 1)], "doc_id bigint, text string, sent_no int")
     rows = sorted(tuple(r) for r in split_sentences(df).collect())
