@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from inkwell.llm.distinctive import most_distinctive, term_scores
 from inkwell.llm.leaks import find_leaks
 from inkwell.llm.markup import strip_markup
-from inkwell.llm.mixture import allocate, count_tokens, mix, report
+from inkwell.llm.mixture import count_tokens, mix, report
 from inkwell.llm.pieces import split_texts
 from inkwell.llm.quality import text_quality
 from inkwell.llm.sentences import split_sentences
 from inkwell.llm.term_counts import count_terms, mark_terms
 from inkwell.llm.words import listed_words
+from inkwell.session import cut_lineage
 from inkwell.sources.tables import articles, table
 
 
@@ -83,18 +84,29 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_leaks(spark, folder).select("doc_id", "item_id").distinct()
 
 
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lineage(count_tokens(table(spark, folder, "documents")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    counted = count_tokens(table(spark, folder, "documents"))
-    return allocate(counted, table(spark, folder, "mix_target")).where("short").select("source")
+    """The sources that the mixture of as many tokens as all documents together can't give their shares."""
+    counted, targets = _counted(spark, folder), table(spark, folder, "mix_target")
+    return report(mix(counted, targets), counted, targets).where("short").select("source")
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(count_tokens(table(spark, folder, "documents")), table(spark, folder, "mix_target"))
+    return mix(_counted(spark, folder), table(spark, folder, "mix_target"), exact=True)
 
 
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:
-    counted, targets = count_tokens(table(spark, folder, "documents")), table(spark, folder, "mix_target")
-    return report(mix(counted, targets), counted, targets)
+    counted, targets = _counted(spark, folder), table(spark, folder, "mix_target")
+    return report(mix(counted, targets, exact=True), counted, targets)
+
+
+def p9_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """The real shares of a mixture in which long documents are likelier to be drawn than short ones."""
+    counted, targets = _counted(spark, folder), table(spark, folder, "mix_target")
+    return report(mix(counted, targets, weight=F.sqrt("tokens"), exact=True), counted, targets)
 
 
 def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +130,7 @@ SCORED = f"""{ARTICLES}, {TOKENS}, {LISTED}, total AS (SELECT count(*) AS n FROM
 
 QUERIES = {"p2_found": p2_found, "p2_marked": p2_marked, "p3_found": p3_found, "p3_clean": p3_clean,
            "p4_found": p4_found, "p4_statistics": p4_statistics, "p6_found": p6_found, "p6_scores": p6_scores,
-           "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report,
+           "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report, "p9_weighted": p9_weighted,
            "p10_found": p10_found, "p10_sentences": p10_sentences}
 # what residue looks like in these tables, in RE2; written apart from the scanner's rules, as a check on them
 RESIDUE = {

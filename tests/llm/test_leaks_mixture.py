@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm.leaks import PATTERN, PassageSearch, find_leaks, fold_words
-from inkwell.llm.mixture import allocate, count_tokens, mix, report
+from inkwell.llm.mixture import allocate, count_tokens, inclusion_scale, mix, report
+from inkwell.llm.queries import QUERIES
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -43,6 +45,32 @@ def test_leaks_and_near_misses(seed):
     assert found(around(sum((items[6][i : i + 4] for i in range(44, -1, -4)), []))) == set()
 
 
+def test_ends_beyond_a_changed_word_count():
+    rnd = random.Random(3)
+    item = [f"u{i}" for i in range(40)]
+    search = PassageSearch({1: item})
+    around = lambda part: " ".join([rnd.choice(WORDS) for _ in range(60)] + part + [rnd.choice(WORDS) for _ in range(60)])
+    found = lambda part: search.search(around(part), 0.5, 0.1)
+    assert found([item[0], "other", *item[2:20]]) == [(1, 20, 19)]
+    assert found([*item[5:23], "other", item[24]]) == [(1, 20, 19)]
+    assert found([item[3], *item[5:23]]) == [(1, 20, 19)]
+    assert found(item[5:15] + ["put", "in"] + item[15:25])[0][1] == 20
+    assert found(item[5:23]) == []
+
+
+def test_short_passages_and_scripts_without_spaces():
+    search = PassageSearch({n: fold_words(t) for n, t in {1: "alpha", 2: "one two three", 3: "a b c d e f", 4: "今日は良い天気ですね散歩に行きましょう", 5: ""}.items()})
+    found = lambda text: {h[0] for h in search.search(text, 0.5, 0.1)}
+    assert found("an Alpha male") == {1} and found("zero one two") == {2} and found("two") == set() == found("a b x c")
+    assert found("x c d e y") == {3} and found("彼は良い天気ですね散歩に。") == {4} and found("良い天") == set()
+
+
+def test_many_passages_are_searched_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"zz tok{i} sel{i} mid{i} end{i} zz") for i in range(50)], "doc_id bigint, text string")
+    items = spark.range(200_000).selectExpr("id AS item_id", "concat('tok', id, ' sel', id, ' mid', id, ' end', id) AS text")
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()) == [(i, i) for i in range(50)]
+
+
 def test_leak_frame(spark):
     rnd = random.Random(9)
     one = passage(rnd)
@@ -87,15 +115,45 @@ def test_mixture_reaches_the_targets(spark, counted):
 
 
 def test_sample_size_is_fixed_and_weights_matter(spark, counted):
-    from pyspark.sql import functions as F
-
     wanted = targets(spark, [("big", 0.3, 1)])
-    sizes = {mix(counted, wanted, seed=s).count() for s in (1, 2, 3)}
-    assert len(sizes) == 1
+    total, most = counted.agg({"tokens": "sum"}).head()[0], counted.where("source = 'big'").agg({"tokens": "max"}).head()[0]
+    for seed in (1, 2, 3):
+        assert abs(mix(counted, wanted, seed=seed).agg({"tokens": "sum"}).head()[0] - 0.3 * total) <= most / 2
     odd = mix(counted, wanted, weight=F.when(F.col("doc_id") % 2 == 1, 1.0).otherwise(0.0))
     assert odd.where("doc_id % 2 = 0").count() == 0 and odd.count() > 0
 
 
+def test_capped_odds_are_shared_out_again(spark):
+    counted = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(100).cast("bigint").alias("tokens"))
+    counted = counted.union(spark.createDataFrame([(5000, "b", 0)], counted.schema))
+    got = mix(counted, targets(spark, [("a", 0.5, 1)]), weight=F.when(F.col("doc_id") < 50, 100.0).when(F.col("doc_id") < 100, 3.0).otherwise(1.0))
+    assert got.agg({"tokens": "sum"}).head()[0] == 50_000
+    assert got.where("doc_id < 50").count() == 50 and got.where("doc_id >= 50 AND doc_id < 100").count() == 50
+    documents = counted.withColumn("weight", F.when(F.col("doc_id") < 50, 100.0).otherwise(1.0))
+    plan = spark.createDataFrame([("a", 50_000.0)], "source string, rest double")
+    assert inclusion_scale(documents, plan).head().scale == pytest.approx(450 / 950)
+    none = mix(counted, targets(spark, [("a", 0.5, 1)]), weight=F.lit(None))
+    assert none.count() == 0
+
+
+def test_exact_total_keeps_the_shares(spark, counted):
+    wanted = targets(spark, [("big", 0.6, 2), ("tiny", 0.3, 3), ("absent", 0.1, 5)])
+    shares = {r.source: r for r in report(mix(counted, wanted, exact=True), counted, wanted).collect()}
+    assert shares["big"].real_share == pytest.approx(0.6, rel=0.02) and shares["tiny"].short and shares["absent"].short and not shares["big"].short
+    only = targets(spark, [("big", 0.6, 2), ("absent", 0.4, 5)])
+    assert report(mix(counted, only, exact=True), counted, only).where("source = 'big'").head().real_share == 1.0
+
+
+@pytest.mark.parametrize("folder, fewest, off", [("/root/testdata/sf0.01", 3_000, 0.05), ("/root/testdata/sf0.1", 0, 0.02)])
+def test_real_shares_of_the_documents(spark, folder, fewest, off):
+    """Within 2 % of the targets; in the small tables shares of fewest tokens are one or two documents, and none may come nearer."""
+    for name in ("p9_report", "p9_weighted") if fewest else ("p9_report",):
+        rows = QUERIES[name](spark, folder).collect()
+        ratios = {r.source: r.real_share / r.target_share for r in rows if not r.short and r.tokens >= fewest}
+        assert len(ratios) > 5 and {k: x for k, x in ratios.items() if abs(x - 1) >= off} == {} and len(rows) == 14
+        assert {r.source for r in rows if r.short} == {"gazetteer", "glossary", "talk"}
+
+
 def test_empty_tables(spark, counted):
     assert mix(counted.limit(0), targets(spark, [("a", 1.0, 1)])).count() == 0
     assert allocate(counted, targets(spark, [])).count() == 0
