@@ -6,36 +6,42 @@ shuffled, and no posting list, document or vocabulary is ever gathered in one ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+import inkwell.functions.arrow  # noqa: F401  lets the functions below travel with the plan
 from inkwell.functions.text import char_bucket, simple_tokens
-from inkwell.session import cut_lineage
+from inkwell.session import cut_lineage, written
 
 K1, B = 1.2, 0.75
 #: Documents per posting block: a word's postings are one row per block, so a word in every document is no hot row.
 BLOCK = 65_536
 
-#: Words in at least this share of the documents count as hot. There are at most 1 / HOT times as many of them as a
-#: document has distinct words on average, however large the collection, so their df may be sent to every task.
-HOT = 0.001
-#: Should documents be so long that more words than this are hot after all, they are joined like the others.
-MOST_HOT = 500_000
+#: Words whose df is sent to every task. The k-th most frequent word has at most a k-th of all rows, so none of the words
+#: that are left to a shuffle has more than one in HOTTEST of them.
+HOTTEST = 20_000
 
 
-def with_doc_freq(counts: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """counts(word, ...) with the df of df(word, df); rows of words that df lacks are left out. n: number of documents.
+def with_doc_freq(counts: DataFrame, listed: DataFrame | None = None, hottest: int = HOTTEST) -> DataFrame:
+    """counts(word, ...), which has each record and word once, with df, the number of records of each word.
 
-    Hot words, most of all rows, get theirs by a broadcast of bounded size, the others by a shuffle in which no word has
-    more than HOT of the documents, so no word is a hot key.
+    The df of the hottest words, most of all rows, are broadcast, always that many of them; the others are shuffled. So
+    no word is a hot key, however common. listed(word): only rows of its words come out. counts is read several times
+    and should be a written table.
     """
-    df = cut_lineage(df)
-    hot = df.where(F.col("df") >= HOT * n)
-    if hot.limit(MOST_HOT + 1).count() > MOST_HOT:
-        return counts.join(df, "word")
-    cold = counts.join(F.broadcast(hot.select("word")), "word", "left_anti").join(df.where(F.col("df") < HOT * n), "word")
-    return counts.join(F.broadcast(hot), "word").unionByName(cold)
+    df = written(doc_freq(counts))
+    hot = cut_lineage(df.orderBy(F.desc("df"), "word").limit(hottest))
+    cold = df.join(F.broadcast(hot.select("word")), "word", "left_anti")
+    if listed is not None:
+        cold, known = cold.join(listed.select("word"), "word", "left_semi"), hot.join(listed.select("word"), "word", "left_semi")
+    else:
+        known = hot
+    others = counts.join(F.broadcast(hot.select("word")), "word", "left_anti").join(cold, "word")
+    return counts.join(F.broadcast(known), "word").unionByName(others)
 
 
 def term_freq(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -67,11 +73,21 @@ def inverse_doc_freq(docs: DataFrame) -> DataFrame:
     return doc_freq(term_freq(docs)).crossJoin(F.broadcast(total)).select("word", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
+def weighted_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, stats): doc_id, word, tf, doc_len, df of every document and word, and one row with corpus_size, avg_doc_len.
+
+    Texts are tokenised once; all else comes from the written counts.
+    """
+    tf = written(term_freq(docs))
+    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+    known = docs.select("doc_id").distinct().join(lengths, "doc_id", "left")
+    stats = known.agg(F.count("*").alias("corpus_size"), F.avg(F.coalesce("doc_len", F.lit(0))).alias("avg_doc_len"))
+    return with_doc_freq(tf).join(lengths, "doc_id"), stats
+
+
 def sparse_vectors(docs: DataFrame, k1: float = K1, b: float = B, normalised: bool = False) -> DataFrame:
     """doc_id, word, tf, doc_len, idf, tf_idf, bm25. normalised: tf / doc_len stands for tf in both scores."""
-    tf = term_freq(docs)
-    stats = cut_lineage(corpus_stats(docs))
-    rows = with_doc_freq(tf.withColumn("doc_len", F.sum("tf").over(W.partitionBy("doc_id"))), doc_freq(tf), stats.head()[0])
+    rows, stats = weighted_counts(docs)
     rows = rows.crossJoin(F.broadcast(stats))
     idf = F.log(F.col("corpus_size") / F.col("df"))
     t = F.col("tf") / F.col("doc_len") if normalised else F.col("tf")
@@ -122,25 +138,41 @@ def running_totals(rows: DataFrame, order: list[Column], value: str) -> DataFram
 def vocab_chunks(df: DataFrame, limit: int) -> DataFrame:
     """word, df, chunk: words by falling df packed one after the other; a chunk closes before its df would pass limit.
 
-    Running totals are made range by range. A chunk's end is one lookup in them, so there are as many small jobs as
-    chunks, which are few as limit is large. A word above limit fills a chunk alone; no chunk is empty.
+    A word above limit fills a chunk alone; no chunk is empty. Words are few kinds of df: those of equal df follow each
+    other, so how they fall into chunks follows from the df, the room left, and how many they are. The df and their
+    numbers of words, at most the square root of twice the postings, are packed in order in one task; the chunk of a
+    word follows from its place among those of its df, which are numbered range by range.
     """
-    order = [F.col("df").desc(), F.col("word")]
-    totals = cut_lineage(running_totals(df, order, "df"))
-    starts, at = [], 1
-    while True:
-        row = totals.where(F.col("place") == at).select((F.col("total") - F.col("df")).alias("before")).head()
-        if row is None:
-            break
-        starts.append((at, len(starts)))
-        after = totals.where((F.col("place") > at) & (F.col("total") > row.before + limit)).agg(F.min("place")).head()[0]
-        if after is None:
-            break
-        at = after
-    if not starts:
-        return totals.select("word", "df", F.lit(0).cast("bigint").alias("chunk"))
-    marks = F.array(*(F.lit(s) for s, _ in starts))
-    return totals.select("word", "df", (F.size(F.filter(marks, lambda s: s <= F.col("place"))) - 1).cast("bigint").alias("chunk"))
+    df = written(df.select("word", "df"))
+    kinds = df.groupBy("df").agg(F.count("*").alias("words"))
+    packed = kinds.coalesce(1).sortWithinPartitions(F.col("df").desc()).mapInPandas(_pack(limit), "df bigint, first_chunk bigint, first_room bigint, per_chunk bigint, before bigint")
+    numbered = running_totals(df, [F.col("df").desc(), F.col("word")], "df").select("word", "df", "place")
+    later = F.greatest(F.lit(0).cast("bigint"), F.col("place") - F.col("before") - 1 - F.col("first_room"))
+    chunk = F.when(F.col("place") - F.col("before") <= F.col("first_room"), F.col("first_chunk")).otherwise(F.col("first_chunk") + 1 + F.floor(later / F.col("per_chunk")))
+    return numbered.join(F.broadcast(packed), "df").select("word", "df", chunk.cast("bigint").alias("chunk"))
+
+
+def _pack(limit: int):
+    """For each df in falling order: the chunk open before its words, how many of them still fit there, how many a new one takes."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, used, before = 0, 0, 0  # the open chunk, the df in it, the words before
+        for batch in batches:
+            rows = []
+            for df, words in zip(batch.df.tolist(), batch.words.tolist()):
+                per = max(1, limit // df)
+                room = min(words, max(0, (limit - used) // df)) if used else min(words, per)
+                rows.append((df, chunk, room, per, before))
+                left = words - room
+                if left:
+                    more = -(-left // per)
+                    chunk, used = chunk + more, (left - (more - 1) * per) * df
+                else:
+                    used += room * df
+                before += words
+            yield pd.DataFrame(rows, columns=["df", "first_chunk", "first_room", "per_chunk", "before"])
+
+    return work
 
 
 def fixed_chunks(rows: DataFrame, key: str, size: int) -> DataFrame:

@@ -43,6 +43,11 @@ def _top_idf(spark, folder):
     return rounded(I.inverse_doc_freq(docs(spark, folder)), "idf")
 
 
+def _idf_join(spark, folder):
+    rows, stats = I.weighted_counts(docs(spark, folder))
+    return rounded(rows.crossJoin(F.broadcast(stats)).select("doc_id", "word", "tf", F.log(F.col("corpus_size") / F.col("df")).alias("idf")), "idf")
+
+
 def _sparse(spark, folder, normalised=False):
     rows = I.sparse_vectors(docs(spark, folder), normalised=normalised)
     return rounded(rows, "idf", "tf_idf", "bm25")
@@ -149,7 +154,7 @@ QUERIES = {
     "corpus_stats": lambda s, f: rounded(I.corpus_stats(docs(s, f)), "avg_doc_len"),
     "count_docs": lambda s, f: tf(s, f).agg(F.countDistinct("doc_id").alias("documents")),
     "idf": _top_idf,
-    "idf_join": lambda s, f: rounded(tf(s, f).join(I.inverse_doc_freq(docs(s, f)).select("word", "idf"), "word", "left"), "idf"),
+    "idf_join": _idf_join,
     "idf_filter": lambda s, f: _idf_filter(s, f, True),
     "idf_filter_rare": lambda s, f: _idf_filter(s, f, False),
     "sparse_vectors": _sparse,
