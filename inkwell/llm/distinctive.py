@@ -2,87 +2,38 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-from inkwell.llm.term_counts import count_terms
-from inkwell.llm.words import words_of
-from inkwell.session import cut_lineage
-
-#: Words in at least this share of the records count as hot. There are at most 1 / HOT times as many of them as a record
-#: has distinct words on average, however large the collection, so their df may be sent to every task.
-HOT = 0.001
-#: Should records be so long that more words than this are hot after all, they are joined like the others.
-MOST_HOT = 200_000
-
-ROWS = StructType([
-    StructField("key", LongType()), StructField("word", StringType()), StructField("tf", LongType()), StructField("df", LongType()), StructField("length", LongType()),
-])
-
-
-def _counted(records: DataFrame, pick: Callable[[str], int | None]) -> DataFrame:
-    """ROWS of the words for which pick gives a df; 0 stands for one yet unknown."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, words, tfs, dfs, lengths = columns = [], [], [], [], []
 
-        def pack() -> pa.RecordBatch:
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=ROWS.names)
-            for c in columns:
-                c.clear()
-            return batch
+from inkwell.operators.index import HOTTEST, with_doc_freq
+from inkwell.session import written
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words_of(text) if text else ()
-                before = len(words)
-                for word, tf in Counter(found).items():
-                    df = pick(word)
-                    if df is not None:
-                        words.append(word)
-                        tfs.append(tf)
-                        dfs.append(df)
-                new = len(words) - before
-                keys.extend([key] * new)
-                lengths.extend([len(found)] * new)
-                if len(words) > 100_000:
-                    yield pack()
-        if words:
-            yield pack()
 
-    return records.select("key", "text").mapInArrow(work, ROWS)
+def record_words(records: DataFrame) -> DataFrame:
+    """key, word, tf, length of records(key, text), without Python: each record's words once, and how many it has in all."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    counts = records.select("key", F.explode(words).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
+    return counts.withColumn("length", F.sum("tf").over(W.partitionBy("key")))
 
 
-def term_scores(records: DataFrame, vocabulary: DataFrame | None = None, smooth: bool = True, normalise: bool = True, sample: DataFrame | None = None) -> DataFrame:
+def term_scores(records: DataFrame, vocabulary: DataFrame | None = None, smooth: bool = True, normalise: bool = True, hottest: int = HOTTEST) -> DataFrame:
     """key, word, tf, df, length, score for every distinct word of records(key, text).
 
     smooth: ln((1 + N) / (1 + df)) + 1, else ln(N / df). normalise: divided by length, the number of words of the
-    record. N counts all rows, those without words too. vocabulary(word): only its words come out. Null and empty texts
-    give no rows; rows of a repeated key are records of their own; other columns are ignored. sample: see count_terms().
+    record. N counts all keys, those without words too. vocabulary(word): only its words come out. Null and empty texts
+    give no rows; rows of one key make up one record; other columns and rows with null key are ignored.
 
-    Words are counted in the record, df over all records, and joined back: that of hot words, most of all rows, is
-    sent to every task, which is of bounded size; the others are shuffled, none with more than HOT of the records.
+    Texts are read once: the distinct words of the records are written as a table, from which df is counted and to which
+    it is joined back, that of a fixed number of hottest words by a broadcast, see with_doc_freq().
     """
-    n = records.count()
-    df = count_terms(records, sample).select(F.col("term").alias("word"), F.col("records").alias("df"))
-    if vocabulary is not None:
-        df = df.join(vocabulary, "word")
-    df = cut_lineage(df)
-    hot = {r.word: r.df for r in df.where(F.col("df") >= HOT * n).limit(MOST_HOT + 1).collect()}
-    if len(hot) > MOST_HOT:
-        hot = {}
-    skip = frozenset(hot)
-    cold = _counted(records, lambda word: None if word in skip else 0).drop("df").join(df, "word").select(*ROWS.names)
-    rows = _counted(records, hot.get).unionByName(cold) if hot else cold
-    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1 if smooth else F.log(F.lit(n) / F.col("df"))
+    records = records.where(F.col("key").isNotNull())
+    total = records.agg(F.countDistinct("key").alias("n"))
+    counts = written(record_words(records))
+    rows = with_doc_freq(counts, vocabulary, hottest).crossJoin(F.broadcast(total))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1 if smooth else F.log(F.col("n") / F.col("df"))
     score = F.col("tf") / F.col("length") * idf if normalise else F.col("tf") * idf
-    return rows.withColumn("score", score)
+    return rows.select("key", "word", "tf", "df", "length", score.alias("score"))
 
 
 def most_distinctive(scores: DataFrame) -> DataFrame:

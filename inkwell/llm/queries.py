@@ -23,10 +23,8 @@ def _articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_marked(spark: SparkSession, folder: str) -> DataFrame:
-    page = table(spark, folder, "page")
-    known = articles(page)
-    counts = count_terms(known, sample=page.where(F.col("text").isNotNull()))
-    return mark_terms(listed_words(table(spark, folder, "idf")), counts, known.agg(F.count("*").alias("n")))
+    known = _articles(spark, folder)
+    return mark_terms(listed_words(table(spark, folder, "idf")), count_terms(known), known.agg(F.count("*").alias("n")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,9 +50,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str, **options: bool) -> DataFrame:
-    page = table(spark, folder, "page")
-    known = articles(page).withColumnRenamed("page_id", "key")
-    return term_scores(known, listed_words(table(spark, folder, "idf")), sample=page.where(F.col("text").isNotNull()), **options)
+    known = _articles(spark, folder).withColumnRenamed("page_id", "key")
+    return term_scores(known, listed_words(table(spark, folder, "idf")), **options)
 
 
 def p6_scores(spark: SparkSession, folder: str) -> DataFrame:

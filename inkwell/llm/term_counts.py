@@ -2,9 +2,9 @@
 
 A burst trie holds terms in containers (here dicts from the rest of the term to its counters) under a trie of leading
 characters. A container that grows past its limit bursts into one container per next character, so prefixes are as
-long as the terms below them are many. Each task counts its records in such a trie and sends its containers, cut at
-common routing prefixes, to the tasks that merge matching subtrees. The routing prefixes are the containers of a trie
-over a bounded sample of records: they decide only where a term is counted, never whether or how.
+long as the terms below them are many. Each task counts its records in such a trie; the terms then go, by common routing
+prefixes, to the tasks that merge matching subtrees. The routing prefixes are the containers of a trie over a bounded
+sample of the terms counted: they decide only where a term is merged, never whether or how.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import inkwell.functions.arrow  # noqa: F401  lets the functions below travel with the plan
 from inkwell.llm.words import words_of
+from inkwell.session import written
 
 #: Terms a container holds before it bursts.
 CONTAINER = 512
 #: Terms a task holds before it sends what it has counted so far and starts anew.
-HELD = 2_000_000
-#: Records sampled for the routing prefixes, and terms a routing container holds before it bursts.
-SAMPLE, ROUTE = 2_000, 64
+HELD = 500_000
+#: Terms sampled for the routing prefixes, characters read of each, and terms a routing container holds before it bursts.
+SAMPLE, LONGEST, ROUTE = 20_000, 64, 64
 
 
 class BurstTrie:
@@ -85,12 +86,16 @@ class BurstTrie:
                 yield prefix + rest, occurrences, records
 
 
-def routing_prefixes(sample: DataFrame) -> frozenset[str]:
-    """The prefixes at which a trie over at most SAMPLE records splits. Their number is bounded by that of its terms."""
+def routing_prefixes(counted: DataFrame) -> frozenset[str]:
+    """The prefixes at which a trie over at most SAMPLE of the terms counted(term, occurrences, records) splits.
+
+    The terms are picked by a hash, from all tasks that counted alike, and cut to LONGEST characters, so what comes to
+    the driver is bounded.
+    """
     trie = BurstTrie(ROUTE)
-    for (text,) in sample.limit(SAMPLE).collect():
-        for word in set(words_of(text or "")):
-            trie.add(word, 1, 1)
+    picked = counted.select(F.substring("term", 1, LONGEST).alias("term"), F.xxhash64("term", "occurrences", "records").alias("h"))
+    for row in picked.orderBy("h").limit(SAMPLE).collect():
+        trie.add(row.term, 1, 1)
     inner: set[str] = set()
     for prefix, _, _ in trie.containers():
         inner.update(prefix[:n] for n in range(len(prefix)))
@@ -105,8 +110,8 @@ def route_of(term: str, inner: frozenset[str]) -> str:
     return term[:at]
 
 
-SENT = StructType([StructField("route", StringType()), StructField("term", StringType()), StructField("occurrences", LongType()), StructField("records", LongType())])
-COUNTED = StructType(SENT.fields[1:])
+COUNTED = StructType([StructField("term", StringType()), StructField("occurrences", LongType()), StructField("records", LongType())])
+SENT = StructType([StructField("route", StringType()), *COUNTED])
 
 
 def _batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
@@ -125,24 +130,16 @@ def _batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBat
         yield pack()
 
 
-def count_terms(records: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+def count_terms(records: DataFrame) -> DataFrame:
     """term, occurrences, records of every distinct word of records(text).
 
     Null and empty texts count as records without words; a text of any length is read whole; repeated rows count each.
-    An empty table gives an empty result; other columns are ignored. sample(text): where the routing prefixes come
-    from, records itself if not given.
-    """
-    inner = routing_prefixes((records if sample is None else sample).select("text"))
+    An empty table gives an empty result; other columns are ignored.
 
-    def send(trie: BurstTrie) -> Iterator[tuple]:
-        for prefix, container, own in trie.containers():
-            fixed = route_of(prefix, inner)
-            whole = fixed != prefix or prefix not in inner  # every term of the container goes one way
-            if own:
-                yield fixed, prefix, own[0], own[1]
-            for rest, (occurrences, number) in container.items():
-                term = prefix + rest
-                yield fixed if whole else route_of(term, inner), term, occurrences, number
+    Each task counts its records in a burst trie and writes it; the tries' terms are then routed by adaptive prefixes,
+    taken from a sample of what was counted, and merged. Terms arrive in order, so a merging task hands over its trie
+    whenever it holds HELD terms, and no vocabulary is too large for it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -157,21 +154,36 @@ def count_terms(records: DataFrame, sample: DataFrame | None = None) -> DataFram
                 for term, n in occurrences.items():
                     trie.add(term, n, number[term])
                 if trie.size > HELD:
-                    yield from send(trie)
+                    yield from trie.terms()
                     trie = BurstTrie()
-            yield from send(trie)
+            yield from trie.terms()
 
-        return _batches(rows(), SENT)
+        return _batches(rows(), COUNTED)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = BurstTrie()
+    counted = written(records.select("text").mapInArrow(count, COUNTED))
+    inner = routing_prefixes(counted)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for term, n, number in zip(*(c.to_pylist() for c in batch.columns)):
-                trie.add(term, n, number)
-        return _batches(trie.terms(), COUNTED)
+            routes = pa.array([route_of(term, inner) for term in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([routes, *batch.columns], names=SENT.names)
 
-    sent = records.select("text").mapInArrow(count, SENT)
-    return sent.repartition("route").select("term", "occurrences", "records").mapInArrow(merge, COUNTED)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            trie, last = BurstTrie(), None
+            for batch in batches:
+                for term, n, number in zip(*(c.to_pylist() for c in batch.columns)):
+                    if trie.size >= HELD and term != last:  # all terms before this one are complete
+                        yield from trie.terms()
+                        trie = BurstTrie()
+                    trie.add(term, n, number)
+                    last = term
+            yield from trie.terms()
+
+        return _batches(rows(), COUNTED)
+
+    sent = counted.mapInArrow(route, SENT).repartition("route").sortWithinPartitions("term")
+    return sent.select("term", "occurrences", "records").mapInArrow(merge, COUNTED)
 
 
 def mark_terms(words: DataFrame, counts: DataFrame, total: DataFrame, rare: int = 3, common: float = 0.5) -> DataFrame:

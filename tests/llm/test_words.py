@@ -41,10 +41,21 @@ def test_counts_against_brute_force(spark):
     assert count_terms(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_same_counts_whatever_the_routes(spark):
+def test_same_counts_whatever_the_routes_and_bounds(spark, monkeypatch):
+    df = frame(spark, TEXTS + [" ".join(f"t{i}" for i in range(300))])
+    one = {tuple(r) for r in count_terms(df).collect()}
+    monkeypatch.setattr("inkwell.llm.term_counts.HELD", 20)
+    monkeypatch.setattr("inkwell.llm.term_counts.SAMPLE", 1)
+    again = count_terms(df).collect()
+    assert one == {tuple(r) for r in again} and len(again) == len(one)
+
+
+def test_scores_whatever_is_hot(spark):
     df = frame(spark, TEXTS)
-    one = {tuple(r) for r in count_terms(df, sample=df.limit(0)).collect()}
-    assert one == {tuple(r) for r in count_terms(df).collect()}
+    vocabulary = spark.createDataFrame([("cat",), ("42",), ("ab12",)], "word string")
+    for words in (None, vocabulary):
+        one, two = ({tuple(r) for r in term_scores(df, words, hottest=n).collect()} for n in (1, 1000))
+        assert one == two and one
 
 
 def test_marks_and_listed_words(spark):
@@ -75,3 +86,10 @@ def test_most_distinctive_breaks_ties_by_word(spark):
     vocabulary = spark.createDataFrame([("b",), ("c",)], "word string")
     rows = most_distinctive(term_scores(frame(spark, texts), vocabulary, smooth=False, normalise=False))
     assert {(r.key, r.word) for r in rows.collect()} == {(0, "b"), (1, "c"), (2, "c")}
+
+
+def test_scores_of_odd_tables(spark):
+    rows = [(1, "a b", "x"), (1, "a", "y"), (None, "a", "z"), (2, None, "z"), (3, "", "z")]
+    got = term_scores(spark.createDataFrame(rows, "key bigint, text string, word string"), smooth=False, normalise=False).collect()
+    assert {(r.key, r.word, r.tf, r.df, r.length) for r in got} == {(1, "a", 2, 1, 3), (1, "b", 1, 1, 3)} and math.isclose(got[0].score, got[0].tf * math.log(3))
+    assert term_scores(frame(spark, ["a"]).limit(0)).count() == 0
