@@ -21,25 +21,24 @@ K1, B = 1.2, 0.75
 #: Documents per posting block: a word's postings are one row per block, so a word in every document is no hot row.
 BLOCK = 65_536
 
-#: Words whose df is sent to every task. The k-th most frequent word has at most a k-th of all rows, so none of the words
-#: that are left to a shuffle has more than one in HOTTEST of them.
+#: A word with at least this part of all rows is hot, and its df is sent to every task. There can't be more than HOTTEST
+#: such words, however large the collection.
 HOTTEST = 20_000
 
 
 def with_doc_freq(counts: DataFrame, listed: DataFrame | None = None, hottest: int = HOTTEST) -> DataFrame:
     """counts(word, ...), which has each record and word once, with df, the number of records of each word.
 
-    The df of the hottest words, most of all rows, are broadcast, always that many of them; the others are shuffled. So
-    no word is a hot key, however common. listed(word): only rows of its words come out. counts is read several times
-    and should be a written table.
+    The df of words with one in hottest of all rows or more, at most so many words, are broadcast; the others, of which
+    none is a hot key, are shuffled. listed(word): only rows of its words come out. counts is read several times and
+    should be a written table.
     """
     df = written(doc_freq(counts))
-    hot = cut_lineage(df.orderBy(F.desc("df"), "word").limit(hottest))
-    cold = df.join(F.broadcast(hot.select("word")), "word", "left_anti")
+    rows = df.agg(F.sum("df")).head()[0] or 0
+    hot = df.where(F.col("df") * hottest >= rows)
+    cold, known = df.where(F.col("df") * hottest < rows), hot
     if listed is not None:
-        cold, known = cold.join(listed.select("word"), "word", "left_semi"), hot.join(listed.select("word"), "word", "left_semi")
-    else:
-        known = hot
+        cold, known = (x.join(listed.select("word"), "word", "left_semi") for x in (cold, known))
     others = counts.join(F.broadcast(hot.select("word")), "word", "left_anti").join(cold, "word")
     return counts.join(F.broadcast(known), "word").unionByName(others)
 
