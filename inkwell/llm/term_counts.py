@@ -26,7 +26,7 @@ CONTAINER = 512
 #: Terms a task holds before it sends what it has counted so far and starts anew.
 HELD = 500_000
 #: Terms sampled for the routing prefixes, characters read of each, and terms a routing container holds before it bursts.
-SAMPLE, LONGEST, ROUTE = 20_000, 64, 64
+SAMPLE, LONGEST, ROUTE = 10_000, 64, 32
 
 
 class BurstTrie:
@@ -87,14 +87,14 @@ class BurstTrie:
 
 
 def routing_prefixes(counted: DataFrame) -> frozenset[str]:
-    """The prefixes at which a trie over at most SAMPLE of the terms counted(term, occurrences, records) splits.
+    """The prefixes at which a trie over about SAMPLE of the terms counted(term, occurrences, records) splits.
 
     The terms are picked by a hash, from all tasks that counted alike, and cut to LONGEST characters, so what comes to
     the driver is bounded.
     """
-    trie = BurstTrie(ROUTE)
-    picked = counted.select(F.substring("term", 1, LONGEST).alias("term"), F.xxhash64("term", "occurrences", "records").alias("h"))
-    for row in picked.orderBy("h").limit(SAMPLE).collect():
+    trie, share = BurstTrie(ROUTE), SAMPLE / max(SAMPLE, counted.count())
+    place = F.pmod(F.xxhash64("term", "occurrences", "records"), F.lit(2**31))
+    for row in counted.where(place < int(share * 2**31)).select(F.substring("term", 1, LONGEST).alias("term")).limit(2 * SAMPLE).collect():
         trie.add(row.term, 1, 1)
     inner: set[str] = set()
     for prefix, _, _ in trie.containers():
