@@ -1,6 +1,6 @@
 import pytest
 
-from inkwell.llm.markup import clean, inherit, judge, kinds_of, strip_markup
+from inkwell.llm.markup import KINDS, clean, inherit, judge, kinds_of, read_blocks, regions, shape, strip_markup
 from inkwell.llm.quality import STATES, label_lines, read_lines, statistics, text_quality
 
 PROSE = "The old mill stands by the river, and it was built in 1850. Nobody in the town knew who had owned it before the war."
@@ -36,7 +36,7 @@ def test_clean_keeps_structure():
 
 
 def test_two_passes():
-    assert judge(PROSE + PROSE, 0.0) == "good" and judge("word " * 40, 0.0) == "bad" and judge("Short", 0.0) == "" and judge(PROSE, 0.9) == "bad"
+    assert judge(PROSE + PROSE, 0.0) == "good" and judge("word " * 40, 0.0) == "bad" and judge("Short", 0.0) == "" and judge(PROSE, 0.9) == "bad" and judge("Слово за словом в этом городе." * 3, 0.0) == "good" and judge("这座桥很古老。" * 20, 0.0) == ""
     assert inherit(["", "good", "", "", "bad", ""]) == ["good", "good", "good", "bad", "bad", "bad"]
     assert inherit(["good", "", "bad"]) == ["good", "good", "bad"] and inherit(["", ""]) == ["good", "good"] and inherit([]) == []
 
@@ -47,7 +47,7 @@ def test_markup_frame(spark):
     assert sorted(r.key for r in rows) == [1, 1, 3]
     one = next(r for r in rows if r.key == 1)
     assert [b.kind for b in one.blocks] == ["heading", "prose"] and one.kinds == ["markdown"]
-    assert strip_markup(df, kinds_only=True).where("clean is not null").count() == 0 and strip_markup(df.limit(0)).count() == 0
+    assert strip_markup(df.limit(0)).count() == 0
 
 
 NAVIGATION = [
@@ -60,7 +60,8 @@ NAVIGATION = [
 def test_link_block_inside_prose_is_bad(spark, block):
     text = f"{PROSE} {PROSE}\n\n{block}\n\n{PROSE} See the [[mill]]. {PROSE}"
     (row,) = strip_markup(spark.createDataFrame([(1, text)], "key bigint, text string")).collect()
-    assert [b.label for b in row.blocks] == ["good", "bad", "good"] and row.clean == clean(text)
+    assert [b.label for b in row.blocks] == ["good", "bad", "good"] and row.clean == clean(text) == f"{PROSE} {PROSE}\n\n{PROSE} See the mill. {PROSE}"
+    assert row.kinds == [k for k in KINDS if any(k in b.kinds for b in row.blocks)]
     assert not {"\x04", "\x05"} & set(row.clean)
 
 
@@ -70,6 +71,47 @@ def test_prose_among_many_links_stays_good(spark):
     assert [b.label for b in row.blocks] == ["bad"] * 5 + ["good"] + ["bad"] * 5
 
 
+@pytest.mark.parametrize("size", [1, 6_000, 60_000, 1_000_000])
+def test_nothing_depends_on_size(size):
+    """Scripts, references, code and formulas of any length are treated alike."""
+    many = "let a = 1;\n\n" * max(1, size // 12)
+    got = clean(f"{PROSE} {PROSE}\n\n<script>{many}</script>\n\n{PROSE}<ref>{'x ' * size}</ref> {PROSE}")
+    assert got == f"{PROSE} {PROSE}\n\n{PROSE} {PROSE}"
+    assert clean(f"<pre>**{many}</pre>") == "**" + many.strip("\n") == clean(f"```js\n**{many}```")
+    formula = "$a_1 " + "+ b " * size + "$"
+    assert clean(f"Here {formula} holds.") == f"Here {formula} holds." and kinds_of(formula) == ["latex"]
+    assert kinds_of("== " + "word " * size + "==") == ["wiki"] and clean("{{a {{b}} " + "c\n\n" * size + "}}x") == "x"
+
+
+@pytest.mark.parametrize("text", ["<!--", "<pre>", "{{", "$a", "\\(", "\\begin{align}", "==", "```", "<h1>", "`", "[[", "&lt;", "<ref>", "\n---", "''"])
+def test_unclosed_marks_take_linear_time(text):
+    clean(text * 30_000)
+
+
+def test_inline_code_stays():
+    assert clean(f"{PROSE} Write `code **x** and [[y]]` there. {PROSE}") == f"{PROSE} Write code **x** and [[y]] there. {PROSE}"
+
+
+def test_regions_are_apart_and_in_order():
+    text = "{{a {{b}} <!-- c --> d}} ``` x {{ ``` <ref name=q/> <ref>r</ref> $$ y $$ {{ <!-- z"
+    found = regions(text)
+    assert [(text[a:b][:6], what) for a, b, what, _, _ in found] == [("{{a {{", "drop"), ("``` x ", "code"), ("<ref>r", "drop"), ("$$ y $", "formula"), ("<!-- z", "drop")]
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def test_kinds_and_clean_text_come_from_the_blocks(monkeypatch):
+    text = f"{PROSE} {PROSE}\n\n{NAVIGATION[0]}\n\n<b>{PROSE}</b> {PROSE}"
+    kinds, whole, blocks = read_blocks(text)
+    assert kinds == ["html", "wiki"] and [b[2] for b in blocks] == [[], ["wiki"], ["html"]] and whole == "\n\n".join(b[3] for b in blocks if b[1] == "good")
+    monkeypatch.setattr("inkwell.llm.markup.split_raw", lambda text: [])
+    assert read_blocks(text) == ([], "", [])
+
+
+@pytest.mark.parametrize("block, kind", [("a    b    c\n1    2    3", "table"), ("a,b,c\n1,2,3", "table"), ("one two, three, four, five six, seven, eight,", "list"), ("# Head", "heading"), ("$a_1$", "formula"), ("f();\ng();", "code")])
+def test_shapes(block, kind):
+    assert shape(block) == kind
+
+
 LONG = " ".join(f"The mill number {i} stands by the river, and it was built in {1800 + i} for a guild of {'abcdefghij'[i % 10] * 4}ers." for i in range(20))
 LIST = "\n".join(f"* word{i} thing" for i in range(20))
 TABLE = "\n".join(f"a{i} | {i}.5 | x{i} | -" for i in range(20))
