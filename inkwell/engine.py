@@ -7,31 +7,40 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import search, vectors
 from inkwell.operators.index import B, K1
+from inkwell.operators.store import BUCKETS, FreshIndex, StoredIndex, write_index
 
-MOST_RESULTS = 10_000
 KINDS = ("tfidf", "bm25", "vector", "rerank")
 
 
 class SearchEngine:
     """Ranked search over docs(doc_id, text) and, for dense search, embedded(doc_id, vector).
 
-    embed turns a query into a vector; models are not part of this library.
+    index is a StoredIndex of docs; without one, every search reads all texts. build() stores one and open() takes one
+    that is stored. embed turns a query into a vector; models are not part of this library. max_results may be any
+    positive number.
     """
 
-    def __init__(self, docs: DataFrame, embedded: DataFrame | None = None, embed=None, k1: float = K1, b: float = B, threshold: float = -1.0, first: str = "bm25") -> None:
+    def __init__(self, docs: DataFrame, embedded: DataFrame | None = None, embed=None, k1: float = K1, b: float = B, threshold: float = -1.0, first: str = "bm25", index: StoredIndex | None = None) -> None:
         self.docs, self.embedded, self.embed, self.k1, self.b, self.threshold = docs, embedded, embed, k1, b, threshold
+        self.index = index or FreshIndex(docs)
         if first not in ("tfidf", "bm25"):
             raise ValueError("the first stage is tfidf or bm25")
         self.first = first
 
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, buckets: int = BUCKETS, **options) -> SearchEngine:
+        return cls(docs, index=write_index(docs, path, buckets), **options)
+
+    @classmethod
+    def open(cls, docs: DataFrame, path: str, **options) -> SearchEngine:
+        return cls(docs, index=StoredIndex(docs.sparkSession, path), **options)
+
     def search(self, query: str, kind: str = "bm25", max_results: int = 50, metric: str = "l2") -> DataFrame:
         """score, doc_id, text, start, end of the best documents: by falling score, for vectors by rising distance."""
         if kind not in KINDS:
             raise ValueError(f"kind is one of {', '.join(KINDS)}")
         if not isinstance(max_results, int) or max_results <= 0:
             raise ValueError("max_results must be a positive whole number")
-        if max_results > MOST_RESULTS:
-            return self._format(self._sparse(query, "bm25", 1).limit(0))
         if kind in ("tfidf", "bm25"):
             return self._format(self._sparse(query, kind, max_results))
         rows = self.embedded.select(F.col("doc_id").alias("id"), "vector")
@@ -43,7 +52,7 @@ class SearchEngine:
         return self._format(found.select(F.col("id").alias("doc_id"), F.col("distance").alias("score")), rising=True)
 
     def _sparse(self, query: str, kind: str, k: int) -> DataFrame:
-        scores = search.bm25_scores(self.docs, query, self.k1, self.b) if kind == "bm25" else search.tfidf_scores(self.docs, query, threshold=self.threshold)
+        scores = search.bm25_scores(self.index, query, self.k1, self.b) if kind == "bm25" else search.tfidf_scores(self.index, query, threshold=self.threshold)
         return search.top(scores, k)
 
     def _format(self, found: DataFrame, rising: bool = False) -> DataFrame:

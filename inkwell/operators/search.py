@@ -1,32 +1,33 @@
-"""Ranked search over documents: candidates, TF-IDF cosine, BM25 and their helpers.
+"""Ranked search over an index: candidates, TF-IDF cosine, BM25 and their helpers.
 
-A query is a handful of words, so it travels as literals: the filter on word reaches the scan, and only rows of
-query words are ever scored.
+A query's words reach the scan of the index as a filter, so only rows of query words are ever read, scored and, after
+adding up on the map side, shuffled. A query may have any number of words.
 """
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import simple_tokens
 from inkwell.operators.index import B, K1
+from inkwell.operators.store import as_index
 
-#: A query has at most this many different words, as each is a column of small numbers.
-MOST_WORDS = 500
 #: Longer words are not indexed.
 WORD_LIMIT = 60
 
 
 def query_counts_of(query: str) -> dict[str, int]:
     """Each word of the query with its count, in order of the words."""
-    words = [w for w in re.split(r"[^\w]+", query.lower()) if w]
-    if len(set(words)) > MOST_WORDS:
-        raise ValueError(f"a query has at most {MOST_WORDS} words")
-    return {w: words.count(w) for w in sorted(set(words))}
+    counts: dict[str, int] = {}
+    for word in re.split(r"[^\w]+", query.lower()):
+        if word:
+            counts[word] = counts.get(word, 0) + 1
+    return dict(sorted(counts.items()))
 
 
 def any_word(tf: DataFrame, words: list[str]) -> DataFrame:
@@ -54,8 +55,8 @@ def word_candidates(tf: DataFrame, idf: DataFrame, words: list[str], strategy: s
     if strategy == "weighted_doc_idf":
         return weighted_candidates(tf, idf, words).select("doc_id")
     if strategy == "word_idf_filter":
-        kept = [r.word for r in idf.where(F.col("word").isin(words) & (F.col("idf") < 1.0)).select("word").limit(MOST_WORDS).collect()]
-        return any_word(tf, kept)
+        kept = idf.where(F.col("word").isin(words) & (F.col("idf") < 1.0)).select("word")
+        return tf.where(F.length("word") <= WORD_LIMIT).join(F.broadcast(kept), "word", "left_semi").select("doc_id").distinct()
     if strategy in ("category_word2vec", "category_weighted_tfidf"):
         raise NotImplementedError(strategy)
     raise ValueError(strategy)
@@ -68,67 +69,65 @@ def top(scores: DataFrame, k: int, score: str = "score", key: str = "doc_id") ->
     return scores.orderBy(F.desc(score), key).limit(k)
 
 
-def _times(words: str, word: str):
-    return F.size(F.filter(words, lambda t: t == word))
+def query_weights(index, counted: dict[str, int]) -> DataFrame:
+    """word, times, idf of the query's words that the index knows, with corpus_size and avg_doc_len."""
+    asked = index.spark.createDataFrame(pa.table({"word": list(counted), "times": list(counted.values())}))
+    known = index.words(list(counted)).join(F.broadcast(asked), "word").crossJoin(F.broadcast(index.stats))
+    return known.withColumn("idf", F.log(F.col("corpus_size") / F.col("df"))).drop("df")
 
 
-def query_counts(docs: DataFrame, words: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, stats): doc_id, dl, t0, t1, ... of every document, and one row with n, avg_dl, df0, df1, ...
+def _held(index, counted: dict[str, int], normalised: bool) -> DataFrame:
+    """The postings of the query's words with their weights, and t, what counts of each."""
+    rows = index.postings(list(counted)).join(F.broadcast(query_weights(index, counted)), "word")
+    return rows.withColumn("t", F.col("tf") / F.col("doc_len") if normalised else F.col("tf").cast("double"))
 
-    Texts are read once: each row's tokens shrink to a few numbers before anything is shuffled, and both results come
-    from the same exchange. A null doc_id is no document; rows of one doc_id add up.
-    """
-    tokens = docs.where("doc_id IS NOT NULL").select("doc_id", simple_tokens("text").alias("tokens"))
-    held = tokens.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.filter("tokens", lambda t: t.isin(words)).alias("held"))
-    counts = [F.coalesce(_times("held", w), F.lit(0)).alias(f"t{i}") for i, w in enumerate(words)]
-    names = ["dl", *(f"t{i}" for i in range(len(words)))]
-    rows = held.select("doc_id", "dl", *counts).groupBy("doc_id").agg(*(F.sum(F.greatest(c, F.lit(0))).alias(c) for c in names))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *(F.sum((F.col(f"t{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(words))))
-    return rows, stats
-
-
-def _idf(i: int):
-    return F.when(F.col(f"df{i}") > 0, F.log(F.col("n") / F.col(f"df{i}"))).otherwise(0.0)
 
+NO_SCORES = "doc_id bigint, score double"
 
-def _any(words: list[str]):
-    return F.greatest(*(F.col(f"t{i}") for i in range(len(words)))) > 0 if len(words) > 1 else F.col("t0") > 0
 
-
-def tfidf_scores(docs: DataFrame, query: str, normalised: bool = False, threshold: float = -1.0, as_distance: bool = False) -> DataFrame:
+def tfidf_scores(source, query: str, normalised: bool = False, threshold: float = -1.0, as_distance: bool = False) -> DataFrame:
     """doc_id, score: cosine of query and document, both restricted to the words of the query.
 
-    normalised: tf / document length. threshold > 0 keeps scores of at least that (as_distance: of at most that). Words
-    that no document has count nothing; documents without any query word, or with zero vectors, don't appear.
+    source: an index, or docs(doc_id, text). normalised: tf / document length. threshold > 0 keeps scores of at least
+    that (as_distance: of at most that). Words that no document has count nothing; documents without any query word, or
+    with zero vectors, don't appear.
     """
-    counted = query_counts_of(query)
-    words = list(counted)
-    if not words:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, score double")
-    rows, stats = query_counts(docs, words)
-    parts = range(len(words))
-    q = [counted[w] * _idf(i) for i, w in enumerate(words)]
-    d = [(F.col(f"t{i}") / F.col("dl") if normalised else F.col(f"t{i}")) * _idf(i) for i in parts]
-    dot = sum((q[i] * d[i] for i in parts), F.lit(0.0))
-    norms = F.sqrt(sum((x * x for x in d), F.lit(0.0))) * F.sqrt(sum((x * x for x in q), F.lit(0.0)))
-    scored = rows.where(_any(words)).crossJoin(F.broadcast(stats)).select("doc_id", F.try_divide(dot, norms).alias("score")).where("score IS NOT NULL")
+    index, counted = as_index(source), query_counts_of(query)
+    if not counted:
+        return index.spark.createDataFrame([], NO_SCORES)
+    held = _held(index, counted, normalised)
+    q, d = F.col("times") * F.col("idf"), F.col("t") * F.col("idf")
+    asked = query_weights(index, counted).agg(F.sqrt(F.sum(q * q)).alias("norm"))
+    sums = held.groupBy("doc_id").agg(F.sum(q * d).alias("dot"), F.sqrt(F.sum(d * d)).alias("length"))
+    scored = sums.crossJoin(F.broadcast(asked)).select("doc_id", F.try_divide("dot", F.col("length") * F.col("norm")).alias("score")).where("score IS NOT NULL")
     if threshold > 0:
         scored = scored.where(F.col("score") <= threshold if as_distance else F.col("score") >= threshold)
     return scored
 
 
-def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, normalised: bool = False) -> DataFrame:
+def bm25_scores(source, query: str, k1: float = K1, b: float = B, normalised: bool = False) -> DataFrame:
     """doc_id, score: the sum of the BM25 terms of the distinct query words. normalised: tf / document length in place of tf."""
-    words = list(query_counts_of(query))
-    if not words:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, score double")
-    rows, stats = query_counts(docs, words)
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        t = F.col(f"t{i}") / F.col("dl") if normalised else F.col(f"t{i}")
-        term = _idf(i) * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-        score = score + F.when(F.col(f"t{i}") > 0, term).otherwise(0.0)
-    return rows.where(_any(words)).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))
+    index, counted = as_index(source), query_counts_of(query)
+    if not counted:
+        return index.spark.createDataFrame([], NO_SCORES)
+    term = F.col("idf") * F.col("t") * (k1 + 1) / (F.col("t") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_doc_len")))
+    return _held(index, counted, normalised).groupBy("doc_id").agg(F.sum(term).alias("score"))
+
+
+def search_all(source, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, doc_id, score: the k best documents of each of queries(query_id, text) by BM25.
+
+    queries are a given set of moderate size: their distinct words are broadcast. The postings of their words are read
+    once for all of them. Scores are rounded to six digits; ties go by doc_id.
+    """
+    index = as_index(source)
+    asked = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(simple_tokens("text"))).alias("word")).distinct()
+    idf = F.log(F.col("corpus_size") / F.col("df"))
+    known = index.words().join(F.broadcast(asked), "word").crossJoin(F.broadcast(index.stats)).select("query_id", "word", idf.alias("idf"), "avg_doc_len")
+    t = F.col("tf").cast("double")
+    term = F.col("idf") * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_doc_len")))
+    scores = index.postings().join(F.broadcast(known), "word").groupBy("query_id", "doc_id").agg(F.round(F.sum(term), 6).alias("score"))
+    return top_per_group(scores, "query_id", k).select("query_id", "rank", "doc_id", "score")
 
 
 def aligned_vectors(sparse: DataFrame, words: list[str], value: str = "tf_idf") -> DataFrame:
@@ -143,11 +142,6 @@ def top_per_group(scores: DataFrame, group: str, k: int, score: str = "score", k
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def round_robin(ranked: DataFrame, query: str, rank: str = "rank") -> DataFrame:
-    """ranked with place: first the first of every list in order of the lists, then the second of each, from 1."""
-    return ranked.withColumn("place", F.row_number().over(W.orderBy(rank, query)))
-
-
 def rank_position(ranked: DataFrame, targets: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """key, position of each target in the ranking, from 0; -1 if absent."""
     best = ranked.groupBy(key).agg(F.min(rank).alias("r"))

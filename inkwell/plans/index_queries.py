@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from inkwell.operators import index as I
 from inkwell.operators import search as S
 from inkwell.operators.chunking import chunk_texts, paragraph_chunks
 from inkwell.operators.phrases import phrase_scores
+from inkwell.operators.store import StoredIndex, write_index
+from inkwell.session import shared_folder
 from inkwell.sources.tables import table
 
 QUERY = "the bishop of the western river"
@@ -26,6 +30,31 @@ def tf(spark: SparkSession, folder: str) -> DataFrame:
     return I.term_freq(docs(spark, folder))
 
 
+#: Indexes built by this process: (application, folder) to the folder of the index.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str) -> StoredIndex:
+    """The index of the documents of folder, built in the shared folder when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BUILT:
+        path = f"{shared_folder(spark)}/index-{uuid4().hex}"
+        write_index(docs(spark, folder), path)
+        _BUILT[key] = path
+    return StoredIndex(spark, _BUILT[key])
+
+
+def _stored_idf(spark, folder):
+    index = stored(spark, folder)
+    return index.words().crossJoin(F.broadcast(index.stats)).select("word", "df", F.log(F.col("corpus_size") / F.col("df")).alias("idf"))
+
+
+def _index_build(spark, folder):
+    """Builds the index anew; what it then holds, word by word."""
+    index = write_index(docs(spark, folder), f"{shared_folder(spark)}/index-{uuid4().hex}")
+    return index.postings().groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("doc_len").alias("doc_len"))
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -62,7 +91,7 @@ def _shard_range(spark, folder):
 
 
 def _rerouted(spark, folder):
-    held = S.any_word(tf(spark, folder), ["bishop", "western"]).join(docs(spark, folder).select("doc_id", "file"), "doc_id")
+    held = S.any_word(stored(spark, folder).postings(["bishop", "western"]), ["bishop", "western"]).join(docs(spark, folder).select("doc_id", "file"), "doc_id")
     block = F.floor(F.col("doc_id") / I.BLOCK)
     return held.groupBy("file", block.alias("block")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).select("file", "block", joined("ids").alias("ids"))
 
@@ -73,8 +102,7 @@ def _idf_filter(spark, folder, common):
 
 
 def _weighted(spark, folder):
-    idf = I.inverse_doc_freq(docs(spark, folder))
-    return rounded(S.weighted_candidates(tf(spark, folder), idf, WORDS), "weight")
+    return rounded(S.weighted_candidates(stored(spark, folder).postings(WORDS), _stored_idf(spark, folder), WORDS), "weight")
 
 
 def _aligned(spark, folder):
@@ -83,22 +111,20 @@ def _aligned(spark, folder):
 
 
 def _tfidf(spark, folder, normalised=False, k=50):
-    return rounded(S.top(S.tfidf_scores(docs(spark, folder), QUERY, normalised).withColumn("score", F.round("score", 6)), k), "score")
+    return rounded(S.top(S.tfidf_scores(stored(spark, folder), QUERY, normalised).withColumn("score", F.round("score", 6)), k), "score")
 
 
 def _bm25(spark, folder, normalised=False, k=50):
-    return S.top(S.bm25_scores(docs(spark, folder), QUERY, normalised=normalised).withColumn("score", F.round("score", 6)), k)
+    return S.top(S.bm25_scores(stored(spark, folder), QUERY, normalised=normalised).withColumn("score", F.round("score", 6)), k)
 
 
 def _topk_per_source(spark, folder):
-    scores = S.bm25_scores(docs(spark, folder), QUERY).withColumn("score", F.round("score", 6))
+    scores = S.bm25_scores(stored(spark, folder), QUERY).withColumn("score", F.round("score", 6))
     return S.top_per_group(scores.join(docs(spark, folder).select("doc_id", "file"), "doc_id"), "file", 3).select("file", "rank", "doc_id", "score")
 
 
 def _tf_norm(spark, folder):
-    lengths = I.doc_len(docs(spark, folder))
-    held = tf(spark, folder).where(F.col("word").isin(WORDS)).join(lengths, "doc_id")
-    return held.select("doc_id", "word", F.round(F.col("tf") / F.col("dl"), 6).alias("tf_norm"))
+    return stored(spark, folder).postings(WORDS).select("doc_id", "word", F.round(F.col("tf") / F.col("doc_len"), 6).alias("tf_norm"))
 
 
 def _lookup(spark, folder):
@@ -114,13 +140,19 @@ def _result_format(spark, folder):
 
 def _passages(spark, folder):
     """For each of every twentieth documents: the rank of the document when its own first twelve words are the query, by shared idf."""
-    idf = I.inverse_doc_freq(docs(spark, folder)).select("word", "idf")
     asked = docs(spark, folder).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(T.simple_tokens("text"), 1, 12))).alias("word"))
-    weighed = asked.join(idf, "word").where("idf > 1.5")
-    scores = weighed.join(tf(spark, folder).select("doc_id", "word"), "word").groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), 6).alias("score"))
+    # df of at most a fifth of the documents, so no word is a hot key in either join
+    weighed = asked.join(_stored_idf(spark, folder).select("word", "idf"), "word").where("idf > 1.5")
+    scores = weighed.join(stored(spark, folder).postings().select("doc_id", "word"), "word").groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), 6).alias("score"))
     return S.top_per_group(scores, "query_id", 10).where("doc_id = query_id").select("query_id", "rank")
 
 
+def _passage_search(spark, folder):
+    """The ten best documents for each evaluation passage, by all of its words."""
+    asked = table(spark, folder, "eval_item").where("text IS NOT NULL").select(F.col("item_id").alias("query_id"), "text")
+    return S.search_all(stored(spark, folder), asked, 10).withColumnRenamed("query_id", "item_id")
+
+
 def _words_of(rule):
     def query(spark, folder):
         words = docs(spark, folder).select("doc_id", F.explode(rule("text")).alias("word"))
@@ -161,19 +193,21 @@ QUERIES = {
     "sparse_vectors_norm": lambda s, f: _sparse(s, f, True),
     "inverted_index": lambda s, f: I.inverted_index(tf(s, f)).select("word", "block", joined("docs").alias("docs")),
     "postings_sorted": lambda s, f: I.postings(tf(s, f)).select("word", "block", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings")),
-    "inverted_union": lambda s, f: S.any_word(tf(s, f), ["bishop", "western"]),
-    "filter_words": lambda s, f: tf(s, f).where(F.col("word").isin(WORDS)),
-    "postings_and": lambda s, f: S.every_word(tf(s, f), ["bishop", "western"]),
+    "index_build": _index_build,
+    "inverted_union": lambda s, f: S.any_word(stored(s, f).postings(["bishop", "western"]), ["bishop", "western"]),
+    "filter_words": lambda s, f: stored(s, f).postings(WORDS).select("doc_id", "word", "tf"),
+    "postings_and": lambda s, f: S.every_word(stored(s, f).postings(["bishop", "western"]), ["bishop", "western"]),
     "weighted_candidates": _weighted,
     "aligned_vector": _aligned,
     "tf_norm": _tf_norm,
     "tfidf_search": _tfidf,
     "tfidf_search_norm": lambda s, f: _tfidf(s, f, True),
-    "tfidf_threshold": lambda s, f: rounded(S.tfidf_scores(docs(s, f), QUERY, threshold=0.5), "score"),
+    "tfidf_threshold": lambda s, f: rounded(S.tfidf_scores(stored(s, f), QUERY, threshold=0.5), "score"),
     "bm25_search": _bm25,
     "bm25_search_norm": lambda s, f: _bm25(s, f, True),
     "topk_per_source": _topk_per_source,
     "passage_recall": _passages,
+    "passage_search": _passage_search,
     "article_lookup": _lookup,
     "result_format": _result_format,
     "group_by_file": _rerouted,
@@ -183,7 +217,7 @@ QUERIES = {
     "vocab_len": lambda s, f: I.doc_freq(tf(s, f)).where(F.length("word") <= S.WORD_LIMIT),
     "vocab_profile": lambda s, f: I.char_histogram(I.doc_freq(tf(s, f))),
     "char_bucket": lambda s, f: I.doc_freq(tf(s, f)).select("word", T.char_bucket("word").alias("bucket")),
-    "prefix_search": lambda s, f: I.doc_freq(tf(s, f)).where(F.col("word").startswith("bri")),
+    "prefix_search": lambda s, f: stored(s, f).words().where(F.col("word").startswith("bri")),
     "vocab_chunks": lambda s, f: I.vocab_chunks(I.doc_freq(tf(s, f)), CHUNK_LIMIT),
     "fixed_chunks": lambda s, f: I.fixed_chunks(docs(s, f).select("doc_id"), "doc_id", 100),
     "shard_range_join": _shard_range,
@@ -308,6 +342,12 @@ SQL = {
         s AS (SELECT query_id, doc_id, round(sum(idf), 6) AS score FROM asked JOIN idf USING (word) JOIN tf USING (word) WHERE idf > 1.5 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND doc_id = query_id""").replace(f"{BASE} ,", f"{BASE},"),
+    "index_build": _with("SELECT word, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS doc_len FROM tf JOIN len USING (doc_id) GROUP BY word"),
+    "passage_search": _with(f""", asked AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS word FROM eval_item),
+        s AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_doc_len))), 6) AS score
+          FROM asked JOIN idf USING (word) JOIN tf USING (word) JOIN len USING (doc_id) CROSS JOIN stats GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""").replace(f"{BASE} ,", f"{BASE},"),
     "article_lookup": "SELECT a.doc_id, coalesce(d.text, 'ERROR: article not found') AS text FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT -1) a LEFT JOIN documents d ON a.doc_id = d.doc_id",
     "result_format": "SELECT doc_id, file, 'sha' || doc_id AS article, substring(text, 6, 40) AS slice FROM documents WHERE file IS NOT NULL AND text IS NOT NULL",
     "group_by_file": _with(f"SELECT file, doc_id // {I.BLOCK} AS block, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT DISTINCT doc_id FROM tf WHERE word IN ('bishop', 'western')) JOIN documents USING (doc_id) GROUP BY ALL"),

@@ -12,7 +12,7 @@ from inkwell.operators import sets as U
 from inkwell.operators import vectors as V
 from inkwell.operators.index import dense_ids, running_totals, term_freq
 from inkwell.operators.search import bm25_scores, rank_position, top
-from inkwell.plans.index_queries import QUERY, bm25_sql
+from inkwell.plans.index_queries import QUERY, bm25_sql, stored
 from inkwell.sources.tables import articles, table
 
 K, DIMS, CATEGORY_DIMS = 10, 64, 8
@@ -52,7 +52,7 @@ def _position(spark, folder):
 
 
 def _rerank(spark, folder):
-    first = top(bm25_scores(table(spark, folder, "documents"), QUERY).withColumn("score", F.round("score", 6)), 500)
+    first = top(bm25_scores(stored(spark, folder), QUERY).withColumn("score", F.round("score", 6)), 500)
     rows = vectors(spark, folder)
     kept = rows.join(first.select(F.col("doc_id").alias("id")), "id", "left_semi")
     return V.nearest(rows.where("id = 0"), kept, 50, "l2").select(F.col("id").alias("doc_id"), F.round("distance", 6).alias("distance"), "rank")

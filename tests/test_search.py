@@ -5,6 +5,7 @@ import pytest
 from inkwell.engine import SearchEngine
 from inkwell.operators import index as I
 from inkwell.operators import search as S
+from inkwell.operators.store import StoredIndex, write_index
 
 DOCS = [(1, "red cat red"), (2, "blue cat"), (3, ""), (4, None), (5, "dog")]
 
@@ -66,6 +67,43 @@ def test_engine(spark, docs):
     assert [r.doc_id for r in engine.search("red cat").collect()] == [1, 2]
     assert [r.doc_id for r in engine.search("any", "vector", 2).collect()] == [1, 5]
     assert [r.doc_id for r in engine.search("blue", "rerank").collect()] == [2]
-    assert engine.search("nowhere", "rerank").count() == 0 and engine.search("cat", max_results=10_001).count() == 0
+    assert engine.search("nowhere", "rerank").count() == 0 and engine.search("cat", max_results=10_001).count() == engine.search("cat").count() > 0
     with pytest.raises(ValueError):
         engine.search("cat", "magic")
+
+
+STORED = [(1, "red cat red", 0), (2, "cat dog", 0), (3, None, 0), (4, "", 0), (None, "cat", 0), (2, "cow", 0), (5, " ".join(f"w{i}" for i in range(1200)), 0)]
+
+
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    rows = spark.createDataFrame(STORED, "doc_id bigint, text string, word int")
+    return write_index(rows, str(tmp_path_factory.mktemp("index") / "one"), buckets=4), rows
+
+
+def test_stored_index_holds_the_texts(spark, index):
+    stored, rows = index
+    again = StoredIndex(spark, stored.path)
+    assert {tuple(r) for r in again.postings(["red", "cat", "cow", "nowhere"]).collect()} == {("red", 1, 2, 3), ("cat", 1, 1, 3), ("cat", 2, 1, 3), ("cow", 2, 1, 3)}
+    assert {tuple(r) for r in again.documents().collect()} == {(1, 3), (2, 3), (3, 0), (4, 0), (5, 1200)} and again.stats.head().corpus_size == 5
+    assert again.words().count() == 1204 and again.words(["cat"]).head().df == 2
+    empty = write_index(rows.limit(0), stored.path + "-empty")
+    assert empty.postings().count() == 0 and S.bm25_scores(empty, "cat").count() == 0 == S.tfidf_scores(empty, "").count()
+
+
+def test_search_of_a_stored_index_equals_that_of_the_texts(spark, index):
+    stored, rows = index
+    many = " ".join(f"w{i}" for i in range(1000)) + " cat cat red"
+    for query in ("red cat cat", "nowhere", many):
+        for scores in (S.bm25_scores, S.tfidf_scores):
+            one, two = ({r.doc_id: round(r.score, 9) for r in scores(x, query).collect()} for x in (stored, rows))
+            assert one == two and bool(one) == (query != "nowhere")
+    engine = SearchEngine.open(rows, stored.path)
+    assert [r.doc_id for r in engine.search("red cat").collect()] == [r.doc_id for r in SearchEngine(rows).search("red cat").collect()]
+    found = S.search_all(stored, spark.createDataFrame([(7, "red dog"), (8, None), (9, "nowhere")], "query_id bigint, text string"), 1).collect()
+    assert [(r.query_id, r["rank"], r.doc_id) for r in found] == [(7, 1, 1)]
+
+
+def test_only_buckets_and_words_of_the_query_are_read(index):
+    plan = S.bm25_scores(index[0], "red cat")._jdf.queryExecution().toString()
+    assert "In(word, [cat,red])" in plan and "PartitionFilters: [bucket" in plan and "text" not in plan
