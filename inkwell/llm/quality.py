@@ -14,9 +14,11 @@ from math import log
 from pyspark.sql import DataFrame
 
 from inkwell.functions.arrow import flat_map
-from inkwell.llm.markup import STOP_WORDS, TAGS
+from inkwell.llm.markup import OTHER_STOP_WORDS, STOP_WORDS, TAGS
 
 STATES = ("prose", "list", "table", "junk")
+#: Common words of all languages with a list; single letters of other languages are labels of list entries as well.
+SMALL_WORDS = STOP_WORDS | {w for w in OTHER_STOP_WORDS if len(w) > 1}
 
 # The model. Rows are states in the order of STATES.
 #: What a line looks like.
@@ -28,6 +30,8 @@ EMIT = (
     (0.005, 0.01, 0.02, 0.02, 0.75, 0.06, 0.01, 0.005, 0.01, 0.01, 0.08, 0.02),
     (0.01, 0.03, 0.02, 0.01, 0.01, 0.05, 0.01, 0.26, 0.30, 0.22, 0.06, 0.01),
 )
+#: Lines after which a sentence may go on.
+RUNNING = (SENTENCE, FRAGMENT, WRAPPED)
 START = (0.7, 0.1, 0.1, 0.1)
 #: To each state, from one line to the next and across a blank line.
 STAY, STAY_ACROSS = 0.94, 0.70
@@ -41,6 +45,9 @@ _MARK = re.compile(
 _HEADING = re.compile(r"(?:#{1,6}\s+\S|(={2,6})[^=]+\1|={3,}\s*$|-{3,}\s*$|\\(?:sub)*section\b)")
 _UNDERLINE = re.compile(r"(?:={3,}|-{3,})(?!\S)")
 _BULLET = re.compile(r"(?:[-*•+‣▪·]|\(?\d{1,4}[.)]|[a-z]\))\s+\S")
+_NUMBERED = re.compile(r"\(?\d{1,4}[.)]\s+")
+#: The label of an entry in a list that runs on in one line.
+_INLINE = re.compile(r"(?:^|[;,]\s+)\(?(?:[a-z]{1,2}|\d{1,3})[.)]\s")
 _LIST_TAG = re.compile(r"\s*</?(?:ul|ol|li)\b", re.I)
 _ROW_TAG = re.compile(r"\s*</?(?:table|tbody|tr|td|th)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,7 +73,7 @@ def observe(line: str, bare: str, lone: bool, seen: int) -> int:
     letters = sum(map(len, words))
     digits = sum(map(len, _DIGITS.findall(bare)))
     signs = len(bare) - letters - digits - bare.count(" ") - bare.count("\t")
-    small = sum(map(STOP_WORDS.__contains__, words))
+    small = sum(map(SMALL_WORDS.__contains__, words))
     density = small / len(words) if words else 0.0
     if bare[0] == "|" and (bare.count("|") >= 2) or bare[:2] in ("{|", "|}", "|-") or bare[0] == "!" and "!!" in bare:
         return CELLS
@@ -84,7 +91,7 @@ def observe(line: str, bare: str, lone: bool, seen: int) -> int:
             return CELLS
         if bare.count(";") >= 2 and small == 0:
             return CELLS
-    if _BULLET.match(bare):
+    if _BULLET.match(bare) or len(_INLINE.findall(bare)) >= 3:
         return BULLET
     if digits > letters and letters < 0.3 * len(bare) and len(bare) > 20:
         return NUMBERS
@@ -133,6 +140,8 @@ def read_lines(text: str) -> list[tuple[str, int, bool]]:
         else:
             bare = _MARK.sub(" ", _TAG.sub(" ", line)).strip().strip("*~'`").strip() if _SOME.search(line) else line
             what = observe(line, bare, before and after, seen.get(line, 0))
+            if what == BULLET and not before and rows[-1][1] in RUNNING and (number := _NUMBERED.match(bare)) and number.group().strip("(). \t") not in ("0", "1"):
+                what = observe(line, bare[number.end() :] or bare, False, 0)  # a sentence goes on with a number
             seen[line] = seen.get(line, 0) + 1
         rows.append((line, what, before))
     repeated = {k for k, n in seen.items() if n > 2}
@@ -192,7 +201,7 @@ def statistics(text: str) -> tuple:
         letters / n if n else 0.0,
         max(0, solid - letters - sum(map(len, _DIGITS.findall(text)))) / solid if solid else 0.0,
         sum(bool(_ENDED.search(x)) for x, _, _ in rows) / len(rows) if rows else 0.0,
-        sum(map(STOP_WORDS.__contains__, words)) / n if n else 0.0,
+        sum(map(SMALL_WORDS.__contains__, words)) / n if n else 0.0,
         *((s / total if total else 0.0) for s in sums),
         2 * sums[0] >= total,
     )
@@ -202,7 +211,7 @@ def text_quality(texts: DataFrame) -> DataFrame:
     """STATS of each row of texts(key, text).
 
     words: runs of letters; symbol_share of the characters that aren't white space; ended_share: lines that end with a
-    sentence's stop; common_share: words that are STOP_WORDS; the four shares of characters by label; prose: not more
+    sentence's stop; common_share: words that are SMALL_WORDS; the four shares of characters by label; prose: not more
     than half of the characters are lists, tables or junk. Null texts give no row, empty and blank ones zeros and prose;
     repeated rows come out repeatedly; other columns are ignored. Texts of any length are read whole.
     """

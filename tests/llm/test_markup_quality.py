@@ -133,6 +133,22 @@ def test_markup_between_sentences_and_wraps_stay_prose():
     assert not statistics(PROSE + "\n\n" + LIST)[9] and statistics(LONG + "\n\n" + LIST)[9]
 
 
+def test_lists_in_one_line_and_numbers_that_go_on():
+    inline = "; ".join(f"({c}) dry mill{c}, 18{i:02}" for i, c in enumerate("abcdefghij"))
+    assert statistics(inline)[6] == 1.0 and not statistics(PROSE[:60] + "\n\n" + inline)[9]
+    assert statistics("The mill (cf. sec.\n85) stands by the river, and it was built in\n27. It was the first of its kind, and the best of them.")[9]
+    assert not statistics("The list:\n1. the mill of it\n2. the river\n3. the town of old\n4. the bridge and the hall")[9]
+
+
+def test_prose_of_other_languages():
+    for text in (
+        "Le vieux moulin se trouve sur la rive, et il a été construit en 1850 par les moines. Personne ne sait qui était dans la ville avant la guerre. Les gens de la ville ont peur de lui.",
+        "Die alte Mühle steht an dem Fluss, und sie wurde 1850 von den Mönchen gebaut. Niemand in der Stadt weiß, wer sie vor dem Krieg hatte. Das ist nicht gut für die Leute.",
+        "El viejo molino está en la orilla del río, y fue construido por los monjes en 1850. Nadie en la ciudad sabe de quién era antes de la guerra. Los de la ciudad no lo quieren.",
+    ):
+        assert statistics(text)[9] and statistics(text)[5] == 1.0
+
+
 def test_statistics_values():
     words, mean, symbols, ended, common, *_ = statistics("The cat is big.\nred, dog")
     assert (words, round(mean, 2), round(ended, 2), round(common, 2)) == (6, 2.83, 0.5, 0.33) and round(symbols, 3) == round(2 / 19, 3)
