@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, StringType, StructType, _parse_datatype_string
 
 import inkwell
 
@@ -41,3 +44,15 @@ def flat_map(df: DataFrame, columns: list[str], start: Callable[[], Callable[...
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(lists, arrow)], schema=arrow)
 
     return df.select(*columns).mapInArrow(batches, target)
+
+
+@F.pandas_udf(BinaryType())
+def deflated(texts: pd.Series) -> pd.Series:
+    """Texts as zlib-compressed UTF-8; null for null."""
+    return texts.map(lambda t: None if t is None else zlib.compress(t.encode()))
+
+
+@F.pandas_udf(StringType())
+def inflated(packed: pd.Series) -> pd.Series:
+    """The inverse of deflated()."""
+    return packed.map(lambda b: None if b is None else zlib.decompress(b).decode())

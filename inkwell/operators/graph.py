@@ -1,6 +1,6 @@
 """Directed graphs as edge tables (src, dst): search by levels, leaves, cycles, roll-ups and covers.
 
-Every loop runs once per level, not once per node, and cuts its lineage. Frontiers stay distributed.
+Loops run once per level or once for several, not once per node, and cut their lineage. Frontiers stay distributed.
 """
 
 from __future__ import annotations
@@ -28,19 +28,33 @@ def roots(edges: DataFrame) -> DataFrame:
     return nodes_of(links).join(links.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
+#: Levels walked before the next look whether any node is left, levels whose results are kept apart before they are
+#: merged, and edges up to which they are broadcast.
+LOOK, APART, FEW = 4, 12, 200_000
+
+
 def levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node, depth of the nodes reachable from start(node): the fewest edges from any of them."""
+    """node, depth of the nodes reachable from start(node): the fewest edges from any of them.
+
+    Each level writes only the nodes that are new; those of earlier levels are merged every APART levels, so what is
+    written grows with the nodes, not with nodes times levels. Edges that have been counted to be few are broadcast;
+    more of them are shuffled.
+    """
     links = cut_lineage(clean_edges(edges))
-    seen = cut_lineage(start.select("node").where(F.col("node").isNotNull()).distinct().withColumn("depth", F.lit(0).cast("bigint")))
-    depth = 0
+    if links.count() <= FEW:
+        links = F.broadcast(links)
+    first = start.select("node").where(F.col("node").isNotNull()).distinct()
+    latest, depth, apart = cut_lineage(first.withColumn("depth", F.lit(0).cast("bigint"))), 0, 1
+    seen = latest
     while max_depth is None or depth < max_depth:
-        frontier = seen.where(F.col("depth") == depth)
         depth += 1
-        step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
-        seen = cut_lineage(seen.unionByName(fresh))
-        if not seen.where(F.col("depth") == depth).limit(1).count():
+        step = latest.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        latest = cut_lineage(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).cast("bigint").alias("depth")))
+        if depth % LOOK == 0 and latest.isEmpty():
             break
+        seen, apart = seen.union(latest), apart + 1
+        if apart > APART:
+            seen, apart = cut_lineage(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")))), 1
     return seen
 
 
@@ -62,21 +76,6 @@ def without_cycles(edges: DataFrame, start: DataFrame) -> DataFrame:
     return clean_edges(edges).join(d1, "src").join(d2, "dst").where(F.col("d2") > F.col("d1")).select("src", "dst")
 
 
-def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """src, dst of all nodes that a path leads from and to, each with itself too. Cycles end as no pair is new."""
-    links = cut_lineage(clean_edges(edges))
-    pairs = cut_lineage(nodes_of(links).select(F.col("node").alias("src"), F.col("node").alias("dst")))
-    frontier, depth = pairs, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.select("src", F.col("dst").alias("via")).join(links.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        frontier = cut_lineage(step.join(pairs, ["src", "dst"], "left_anti"))
-        if not frontier.limit(1).count():
-            break
-        pairs = cut_lineage(pairs.unionByName(frontier))
-    return pairs
-
-
 def held(edges: DataFrame, members: DataFrame, value: str = "doc_id") -> DataFrame:
     """node, value: the distinct members(node, value) of each node and of all below it.
 
@@ -84,12 +83,14 @@ def held(edges: DataFrame, members: DataFrame, value: str = "doc_id") -> DataFra
     ancestors and descendants, are walked. Needs edges without cycles, as without_cycles() gives.
     """
     links = cut_lineage(clean_edges(edges))
-    total = cut_lineage(members.select("node", value).where(F.col("node").isNotNull() & F.col(value).isNotNull()).distinct())
-    frontier = total
-    while frontier.limit(1).count():
-        up = frontier.join(links, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), value).distinct()
-        frontier = cut_lineage(up.join(total, ["node", value], "left_anti"))
-        total = cut_lineage(total.unionByName(frontier))
+    latest, apart = cut_lineage(members.select("node", value).where(F.col("node").isNotNull() & F.col(value).isNotNull()).distinct()), 1
+    total = latest
+    while not latest.isEmpty():
+        up = latest.join(links, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), value).distinct()
+        latest = cut_lineage(up.join(total, ["node", value], "left_anti"))
+        total, apart = total.union(latest), apart + 1
+        if apart > APART:
+            total, apart = cut_lineage(total), 1
     return total
 
 

@@ -1,10 +1,14 @@
 """Parent-child rows to whole hierarchies by heavy-path decomposition.
 
-Subtree sizes come from pointer doubling, which also separates cycles: in round k a node knows the ancestor 2^k links
-up and the number of nodes less than 2^k links below it. Each parent's largest child continues the parent's chain, all
-other children head chains of their own; a path from the top then crosses at most log2(n) chains. Positions inside
-chains, and then depths, roots and positions of the chains themselves, are again found by doubling. So the number of
-rounds grows with the logarithm of the depth, never with the depth, and no group of siblings is gathered in one task.
+Nodes without children hang on their parents and take no part in the rounds. For the others, subtree sizes come from
+pointer doubling, which also separates cycles: in round k a node knows the ancestor 2^k links up and the number of nodes
+less than 2^k links below it. Each parent's largest child continues the parent's chain, all other children head chains of
+their own; a path from the top then crosses at most log2(n) chains. Positions inside chains, and then depths, roots and
+positions of the chains themselves, are again found by doubling. So the number of rounds grows with the logarithm of the
+depth, never with the depth. Children of one parent are never gathered in one task. Where all rows look up what is known
+of another node, those that many rows point to are looked up apart from the others (attach()); in the rounds, which only
+nodes with children take part in, every lookup is a left join with a side that has each key once, of which adaptive
+execution splits a skewed partition.
 """
 
 from __future__ import annotations
@@ -17,16 +21,35 @@ from inkwell.session import cut_lineage
 
 #: Parts in which the siblings below one parent are summed, so that a parent of a third of all rows is no hot key.
 SIBLING_PARTS = 64
+#: A key of one in HOT rows or more is hot; there can't be more than HOT of them.
+HOT = 128
+
+
+def attach(rows: DataFrame, key: str, known: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of known(key, ...), which has each key once; null where it has none.
+
+    total: how many rows there are at most. What is known of hot keys, with one in HOT of them or more, is at most HOT
+    rows and is broadcast, so rows of one key need not meet in one task; the others are shuffled. rows and known are
+    read more than once and should be written.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") * HOT >= max(total, 4 * HOT)).select(key)
+    few = known.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))
+    often = rows.join(F.broadcast(few), key, "left")
+    names = [c for c in often.columns if c != "_hot"]
+    rare = rows.join(F.broadcast(hot), key, "left_anti").join(known, key, "left").select(names)
+    return often.where("_hot").select(names).unionByName(rare)
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFrame:
     """Label every node of the forest given by edges(src = parent, dst = child).
 
     nodes(name) adds names that have no edge. Null names say nothing; repeated edges count once; of several parents the
-    first in order is taken. Result, one row per name: name, parent, root, depth, first, last, descendants and, if
-    asked for, path. [first, last] is the interval of positions held by the node and its descendants below its root:
+    first in order is taken. Result, one row per name: name, parent, root, depth, first, last, descendants, cyclic and,
+    if asked for, path. [first, last] is the interval of positions held by the node and its descendants below its root:
     u is a descendant of v if their roots agree and v.first < u.first <= v.last. Names on or below a cycle have root
-    '', depth -1 and null interval, count and path. Empty tables give an empty result.
+    '', depth -1 and null interval, count and path; cyclic is 'on' or 'below', null for all others. Empty tables give an
+    empty result.
     """
     links = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).groupBy(F.col("dst").alias("name")).agg(F.min("src").alias("parent"))
     names = (
@@ -38,97 +61,138 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
     )
     named = cut_lineage(names.join(links, "name", "left").withColumn("id", F.monotonically_increasing_id()))
     ids = named.select(F.col("name").alias("parent"), F.col("id").alias("pid"))
-    linked = cut_lineage(named.select("id", "parent").join(ids, "parent", "left").select("id", "pid"))
-    sized = _sizes(linked)
-    trees = cut_lineage(named.join(sized, "id").select("id", "name", "parent", "pid", "size", "tree"))
-    inside = trees.where("tree")
-    chained = _chains(inside)
-    placed = _place(inside, chained, paths)
-    found = trees.where(~F.col("tree")).select(
-        "name", "parent", F.lit("").alias("root"), F.lit(-1).cast("bigint").alias("depth"),
-        F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("descendants"),
-        *([F.lit(None).cast("array<string>").alias("path")] if paths else []),
-    )
-    return placed.unionByName(found)
-
-
-def _sizes(linked: DataFrame) -> DataFrame:
-    """id, pid, size of the subtree, and whether the node reaches a top (tree)."""
-    state = linked.select("id", "pid", F.col("pid").alias("up"), F.lit(1).cast("bigint").alias("size"), F.col("pid").isNull().alias("tree"))
+    total = named.count()
+    linked = cut_lineage(attach(named, "parent", ids, total).select("id", "name", "parent", "pid"))
+    kids = linked.where("pid IS NOT NULL").groupBy(F.col("pid").alias("id")).agg(F.count("*").alias("kids"))
+    marked = cut_lineage(linked.join(kids, "id", "left"))
+    leaf = marked.where("kids IS NULL").drop("kids")
+    hanging = leaf.where("pid IS NOT NULL").groupBy(F.col("pid").alias("id")).agg(F.count("*").alias("leaves"))
+    core = marked.where("kids IS NOT NULL").join(hanging, "id", "left").select("id", "name", "parent", "pid", F.coalesce("leaves", F.lit(0)).alias("leaves"))
+    core = cut_lineage(core.join(_sizes(core), "id"))
+    placed = cut_lineage(_place(core, core.count(), paths))
+    return placed.drop("id", "inner").unionByName(_leaves(leaf, total, placed, paths))
+
+
+def _sizes(core: DataFrame) -> DataFrame:
+    """id, size of the subtree, whether the node reaches a top (tree), and whether it lies on a cycle."""
+    state = core.select("id", F.col("pid").alias("up"), (F.col("leaves") + 1).alias("size"), F.col("pid").isNull().alias("tree"))
     state = cut_lineage(state)
-    total, before = state.count(), -1
+    total, before, rounds = state.count(), -1, 0
     reached = state.where("tree").count()
     while reached not in (before, total):
         below = state.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("tree").alias("tree2"))
         state = cut_lineage(
             state.join(above, "up", "left").join(below, "id", "left").select(
-                "id", "pid", F.col("up2").alias("up"),
+                "id", F.col("up2").alias("up"),
                 (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
                 (F.col("tree") | F.coalesce("tree2", F.lit(False))).alias("tree"),
             )
         )
-        before, reached = reached, state.where("tree").count()
-    return state.select("id", "pid", "size", "tree")
-
-
-def _double(state: DataFrame, more: list[Column], keep: list[str]) -> DataFrame:
-    """Follow up(id -> up, at null the end) to the end; more says what a node (a) takes over from the one it points to (b)."""
-    state = cut_lineage(state)
-    while state.where(F.col("up").isNotNull()).limit(1).count():
-        a = state.where(F.col("up").isNotNull()).alias("a")
-        hop = a.join(state.alias("b"), F.col("a.up") == F.col("b.id")).select(F.col("a.id"), F.col("b.up"), *more, *(F.col(f"a.{k}") for k in keep))
-        state = cut_lineage(state.where(F.col("up").isNull()).unionByName(hop))
-    return state
-
-
-def _chains(inside: DataFrame) -> DataFrame:
+        before, reached, rounds = reached, state.where("tree").count(), rounds + 1
+    if reached == total:
+        return state.select("id", "size", "tree", F.lit(False).alias("ring"))
+    # Of the rest, all have walked 2^rounds links. On a cycle are the nodes that these walks, once long enough, end at.
+    rest = cut_lineage(state.where(~F.col("tree")).select("id", F.col("up").alias("end")))
+    count = rest.count()
+    while 2**rounds < count:
+        ahead = rest.select(F.col("id").alias("end"), F.col("end").alias("end2"))
+        rest = cut_lineage(rest.join(ahead, "end", "left").select("id", F.col("end2").alias("end")))
+        rounds += 1
+    ring = rest.select(F.col("end").alias("id")).distinct().withColumn("ring", F.lit(True))
+    return state.join(ring, "id", "left").select("id", "size", "tree", F.coalesce("ring", F.lit(False)).alias("ring"))
+
+
+def _double(state: DataFrame, more: list[Column], columns: list[str]) -> DataFrame:
+    """Follow up (null at the end) to the end; more says what a node takes over from the one it points to (its columns with a 2)."""
+    done, active = None, cut_lineage(state)
+    whole = active
+    while not active.where(F.col("up").isNotNull()).isEmpty():
+        ahead = whole.select(F.col("id").alias("up"), F.col("up").alias("up2"), *(F.col(c).alias(f"{c}2") for c in columns))
+        ended = active.where("up IS NULL")
+        done = ended if done is None else done.union(ended)
+        active = cut_lineage(active.where("up IS NOT NULL").join(ahead, "up").select("id", F.col("up2").alias("up"), *more))
+        whole = done.unionByName(active)
+    return whole
+
+
+def _chains(inside: DataFrame, total: int) -> DataFrame:
     """id, head of its chain, place on the chain from 0, and for heads of light chains the offset behind their elder siblings."""
     child = inside.where(F.col("pid").isNotNull())
     heavy = child.groupBy("pid").agg(F.min_by(F.struct("id", "size"), F.struct(-F.col("size"), F.col("name"))).alias("h"))
-    heavy = heavy.select("pid", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size"))
+    heavy = cut_lineage(heavy.select("pid", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size")))
     part = F.pmod(F.xxhash64("name"), F.lit(SIBLING_PARTS))
-    light = child.join(heavy, "pid").where(F.col("id") != F.col("heavy")).select("id", "pid", "name", "size", "heavy_size", part.alias("part"))
+    light = attach(child, "pid", heavy, total).where(F.col("id") != F.col("heavy")).select("id", "pid", "name", "size", "heavy_size", part.alias("part"))
     light = cut_lineage(light)
-    own = W.partitionBy("pid", "part").orderBy("name").rowsBetween(W.unboundedPreceding, -1)
-    parts = light.groupBy("pid", "part").agg(F.sum("size").alias("part_size"))
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(W.partitionBy("pid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    offset = light.withColumn("elder", F.coalesce(F.sum("size").over(own), F.lit(0))).join(parts, ["pid", "part"]).select(
-        "id", (F.col("heavy_size") + F.col("elder") + F.col("ahead")).alias("skip")
-    )
+    offset = _elders(light, "size").select("id", (F.col("heavy_size") + F.col("elder")).alias("skip"))
     start = inside.join(heavy.select(F.col("heavy").alias("id"), F.lit(True).alias("is_heavy")), "id", "left")
     start = start.select("id", F.when(F.col("is_heavy"), F.col("pid")).alias("up"), F.when(F.col("is_heavy"), F.col("pid")).otherwise(F.col("id")).alias("head"),
                          F.when(F.col("is_heavy"), 1).otherwise(0).cast("bigint").alias("place"))
-    ended = _double(start, [F.col("b.head"), (F.col("a.place") + F.col("b.place")).alias("place")], [])
+    ended = _double(start, [F.col("head2").alias("head"), (F.col("place") + F.col("place2")).alias("place")], ["head", "place"])
     return cut_lineage(ended.select("id", "head", "place").join(offset, "id", "left"))
 
 
-def _place(inside: DataFrame, chained: DataFrame, paths: bool) -> DataFrame:
-    """Concatenate chains from the top: depth, root, interval and path of each node."""
+def _elders(rows: DataFrame, value: str) -> DataFrame:
+    """rows(pid, part, name, ...) with elder: the sum of value over the siblings before, which are ordered by part and name."""
+    own = W.partitionBy("pid", "part").orderBy("name").rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy("pid", "part").agg(F.sum(value).alias("part_size"))
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(W.partitionBy("pid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = rows.withColumn("elder", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return within.join(parts.select("pid", "part", "ahead"), ["pid", "part"]).withColumn("elder", F.col("elder") + F.col("ahead")).drop("ahead")
+
+
+def _place(core: DataFrame, total: int, paths: bool) -> DataFrame:
+    """Concatenate chains from the top: depth, root, interval and path of each node that has children, with its id and inner, its size without its leaves."""
+    inside = core.where("tree").select("id", "name", "parent", "pid", "size", "leaves")
+    chained = _chains(inside, total)
     at = chained.select(F.col("id").alias("pid"), F.col("head").alias("above"), F.col("place").alias("above_place"))
-    heads = chained.where(F.col("id") == F.col("head")).join(inside.select("id", "pid"), "id").join(at, "pid", "left")
+    heads = chained.where(F.col("id") == F.col("head")).join(inside.select("id", "pid"), "id")
+    heads = cut_lineage(heads.select("id", "skip", "pid").join(at, "pid", "left"))
     start = heads.select(
         "id", F.col("above").alias("up"), F.coalesce("above", F.col("id")).alias("top"),
         F.coalesce(F.col("above_place") + 1, F.lit(0)).alias("depth"),
         F.coalesce(F.col("above_place") + 1 + F.col("skip"), F.lit(0)).alias("first"),
     )
-    more = [F.col("b.top"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.first") + F.col("b.first")).alias("first")]
+    columns = ["top", "depth", "first"]
+    more = [F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("first") + F.col("first2")).alias("first")]
     chains = None
     if paths:
         chains = chained.join(inside.select("id", "name"), "id").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("all"))
         chains = cut_lineage(chains.select("head", F.col("all.name").alias("names")))
-        cuts = heads.select("id", "above", "above_place").join(chains.withColumnRenamed("head", "above"), "above", "left")
+        cuts = attach(heads.select("id", "above", "above_place"), "above", chains.withColumnRenamed("head", "above"), total)
         start = start.join(cuts.select("id", F.coalesce(F.slice("names", F.lit(1), (F.col("above_place") + 1).cast("int")), F.array().cast("array<string>")).alias("ahead")), "id")
-        more.append(F.concat(F.col("b.ahead"), F.col("a.ahead")).alias("ahead"))
-    tops = _double(start, more, []).select(F.col("id").alias("head"), "top", F.col("depth").alias("head_depth"), F.col("first").alias("head_first"), *(["ahead"] if paths else []))
+        columns.append("ahead")
+        more.append(F.concat("ahead2", "ahead").alias("ahead"))
+    tops = cut_lineage(_double(start, more, columns))
     roots = inside.where(F.col("pid").isNull()).select(F.col("id").alias("top"), F.col("name").alias("root"))
-    tops = tops.join(roots, "top").drop("top")
-    full = inside.join(chained.select("id", "head", "place"), "id").join(tops, "head")
-    if paths:
-        full = full.join(chains, "head")
+    tops = tops.drop("up").join(roots, "top").select(F.col("id").alias("head"), "root", F.col("depth").alias("head_depth"), F.col("first").alias("head_first"), *(["ahead"] if paths else []))
+    full = cut_lineage(inside.join(chained.select("id", "head", "place"), "id"))
+    full = attach(full, "head", cut_lineage(tops.join(chains, "head") if paths else tops), total)
     first = F.col("head_first") + F.col("place")
-    return full.select(
-        "name", "parent", "root", (F.col("head_depth") + F.col("place")).alias("depth"),
-        first.alias("first"), (first + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("descendants"),
+    known = full.select(
+        "id", "name", "parent", "root", (F.col("head_depth") + F.col("place")).alias("depth"),
+        first.alias("first"), (first + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("descendants"), F.lit(None).cast("string").alias("cyclic"),
+        (F.col("size") - F.col("leaves")).alias("inner"),
         *([F.concat("ahead", F.slice("names", F.lit(1), (F.col("place") + 1).cast("int"))).alias("path")] if paths else []),
     )
+    return known.unionByName(core.where(~F.col("tree")).select("id", "name", "parent", F.when(F.col("ring"), "on").otherwise("below").alias("cyclic"), F.lit("").alias("root"), F.lit(-1).cast("bigint").alias("depth")), allowMissingColumns=True)
+
+
+def _leaves(leaf: DataFrame, total: int, placed: DataFrame, paths: bool) -> DataFrame:
+    """The rows of the nodes without children, from those of their parents: their positions follow those of all other children."""
+    above = placed.select(F.col("id").alias("pid"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("first").alias("up_first"), "inner", *([F.col("path").alias("up_path")] if paths else []))
+    rows = leaf.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(SIBLING_PARTS))).withColumn("one", F.lit(1).cast("bigint"))
+    hanging = cut_lineage(_elders(rows.where("pid IS NOT NULL"), "one").drop("one", "part"))
+    found = attach(hanging, "pid", above, total)
+    lost, first = F.col("up_depth") < 0, F.col("up_first") + F.col("inner") + F.col("elder")
+    known = found.select(
+        "name", "parent", F.col("up_root").alias("root"), F.when(lost, -1).otherwise(F.col("up_depth") + 1).cast("bigint").alias("depth"),
+        first.alias("first"), first.alias("last"), F.when(~lost, 0).cast("bigint").alias("descendants"), F.when(lost, "below").alias("cyclic"),
+        *([F.concat("up_path", F.array("name")).alias("path")] if paths else []),
+    )
+    zero = F.lit(0).cast("bigint")
+    alone = leaf.where("pid IS NULL").select(
+        "name", "parent", F.col("name").alias("root"), zero.alias("depth"), zero.alias("first"), zero.alias("last"), zero.alias("descendants"), F.lit(None).cast("string").alias("cyclic"),
+        *([F.array("name").alias("path")] if paths else []),
+    )
+    return known.unionByName(alone)

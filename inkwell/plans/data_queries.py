@@ -33,6 +33,16 @@ def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return above.select("category", "descendant", (F.col("depth") - F.col("place")).alias("distance"))
 
 
+def p1_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """The categories on or below a cycle, and which of the two."""
+    return category_forest(spark, folder).where("depth < 0").select(F.col("name").alias("category"), "cyclic")
+
+
+def p1_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions below the root: v's descendants are the categories u of its root with v.first < u.first <= v.last."""
+    return category_forest(spark, folder).where("depth >= 0").select(F.col("name").alias("category"), "root", "first", "last")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = flatten_records(table(spark, folder, "raw_record"), ["record_id", "sha1", "id", "parent_id"], ("section",))
     return rows.withColumnRenamed("id", "section_id").distinct()
@@ -75,9 +85,42 @@ tree AS (SELECT record_id, t.fullkey, CAST(t.value AS VARCHAR) AS v, regexp_extr
 section AS (SELECT record_id, fullkey, CAST(json_extract(v, '$.id') AS BIGINT) AS id FROM tree WHERE k IN ('sections', 'children')),
 revision AS (SELECT record_id, fullkey, regexp_replace(json_extract_string(v, '$.sha1'), '\s', '', 'g') AS sha1 FROM tree WHERE k IN ('revision', 'revisions'))
 """
+# the same with Dewey labels: the ordinals of all keys and array places on the way, counted from 1 as they stand in the payload
+OBJECTS_SQL = r"""
+opened AS (SELECT DISTINCT record_id, CAST(payload AS VARCHAR) AS p, 0 AS n FROM raw_record WHERE json_valid(payload)
+  UNION ALL SELECT record_id, json_extract_string(p, '$'), n + 1 FROM opened WHERE n < 8 AND json_type(p) = 'VARCHAR' AND json_valid(json_extract_string(p, '$'))),
+walk AS (SELECT DISTINCT record_id, '1' AS label, CAST(NULL AS VARCHAR) AS k, CAST(p AS JSON) AS v FROM opened WHERE json_type(p) IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT record_id, w.label || '.' || (c.i), CASE WHEN json_type(w.v) = 'ARRAY' THEN w.k ELSE c.k END, c.v FROM walk w,
+    LATERAL (SELECT unnest(range(1, 1 + CAST(CASE WHEN json_type(w.v) = 'ARRAY' THEN json_array_length(w.v) ELSE len(json_keys(w.v)) END AS BIGINT))) AS i) AS n(i),
+    LATERAL (SELECT n.i AS i, CASE WHEN json_type(w.v) = 'OBJECT' THEN json_keys(w.v)[n.i] END AS k,
+      CASE WHEN json_type(w.v) = 'ARRAY' THEN json_extract(w.v, '$[' || (n.i - 1) || ']') ELSE json_extract(w.v, '$."' || json_keys(w.v)[n.i] || '"') END AS v) AS c
+    WHERE json_type(w.v) IN ('OBJECT', 'ARRAY') AND json_type(c.v) IN ('OBJECT', 'ARRAY')),
+kinds AS (SELECT record_id, label, v, CASE WHEN k IN ('page', 'pages') THEN 'page' WHEN k IN ('revision', 'revisions') THEN 'revision'
+  WHEN k IN ('sections', 'children') THEN 'section' WHEN k IN ('note', 'notes') THEN 'note' END AS kind FROM walk WHERE json_type(v) = 'OBJECT'),
+object AS (SELECT * FROM kinds WHERE kind IS NOT NULL)
+"""
+_OUTER_SQL = "object o"
+_NEAREST = "(SELECT arg_max(a.{0}, length(a.label)) FROM object a WHERE a.record_id = o.record_id AND starts_with(o.label, a.label || '.'))"
+_NUMBER_SQL = "TRY_CAST(json_extract_string({0}.v, '$.id') AS BIGINT)"
+
+
+def _near(kind: str, value: str) -> str:
+    return f"(SELECT arg_max({value}, length(a.label)) FROM object a WHERE a.kind = '{kind}' AND a.record_id = o.record_id AND starts_with(o.label, a.label || '.'))"
+
+
+_OUTER_ID = "coalesce((SELECT arg_max({0}, length(a.label)) FROM object a WHERE a.record_id = o.record_id AND starts_with(o.label, a.label || '.')), 0)".format(_NUMBER_SQL.format("a"))
+_ABOVE_SQL = f"{_NEAREST.format('kind')} AS parent_kind, {_NEAREST.format('label')} AS parent_label"
+
+
+def _text_sql(key: str) -> str:
+    field = f"json_extract(o.v, '$.{key}')"
+    inner = ", ".join(f"CASE WHEN json_type({field}, '$.{k}') = 'VARCHAR' THEN json_extract_string({field}, '$.{k}') END" for k in ("value", "title", '"#text"'))
+    return f"CASE json_type({field}) WHEN 'VARCHAR' THEN json_extract_string({field}, '$') WHEN 'OBJECT' THEN coalesce({inner}) END"
+
+
 _AROUND = "{0}.record_id = s.record_id AND (starts_with(s.fullkey, {0}.fullkey || '.') OR starts_with(s.fullkey, {0}.fullkey || '['))"
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p1_intervals": p1_intervals, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
            "p5_sections": p5_sections, "p5_notes": p5_notes}
 SQL = {
     "p1_found": f"WITH RECURSIVE {NAMES_SQL} SELECT n.name AS category, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth FROM nodes n LEFT JOIN down d ON n.name = d.name",
@@ -92,6 +135,15 @@ SQL = {
         up AS (SELECT name AS below, parent AS above, CAST(1 AS BIGINT) AS distance FROM down WHERE parent IS NOT NULL
           UNION ALL SELECT u.below, n.parent, u.distance + 1 FROM up u JOIN nodes n ON u.above = n.name WHERE n.parent IS NOT NULL)
         SELECT above AS category, below AS descendant, distance FROM up""",
+    "p1_cycles": f"""WITH RECURSIVE {NAMES_SQL}, lost AS (SELECT n.name, n.parent FROM nodes n LEFT JOIN down d ON n.name = d.name WHERE d.name IS NULL),
+        walk AS (SELECT name, parent AS above FROM lost UNION SELECT w.name, l.parent FROM walk w JOIN lost l ON w.above = l.name)
+        SELECT name AS category, CASE WHEN bool_or(name = above) THEN 'on' ELSE 'below' END AS cyclic FROM walk GROUP BY name""",
+    "p5_pages": f"""WITH RECURSIVE {OBJECTS_SQL} SELECT o.record_id, label, {_ABOVE_SQL}, {_text_sql("title")} AS title, {_text_sql("redirect")} AS redirect FROM {_OUTER_SQL} WHERE o.kind = 'page'""",
+    "p5_revisions": f"""WITH RECURSIVE {OBJECTS_SQL} SELECT o.record_id, label, {_ABOVE_SQL}, regexp_replace({_text_sql("sha1")}, '\\s', '', 'g') AS sha1, {_text_sql("text")} AS text FROM {_OUTER_SQL} WHERE o.kind = 'revision'""",
+    "p5_sections": f"""WITH RECURSIVE {OBJECTS_SQL} SELECT o.record_id, label, {_ABOVE_SQL}, {_NUMBER_SQL.format("o")} AS id, coalesce({_near("section", _NUMBER_SQL.format("a"))}, 0) AS parent_id,
+        regexp_replace({_near("revision", "json_extract_string(a.v, '$.sha1')")}, '\\s', '', 'g') AS sha1, {_text_sql("heading")} AS heading, {_text_sql("text")} AS text,
+        {_near("page", "a.label")} AS page_label, {_near("revision", "a.label")} AS revision_label FROM {_OUTER_SQL} WHERE o.kind = 'section'""",
+    "p5_notes": f"""WITH RECURSIVE {OBJECTS_SQL} SELECT o.record_id, label, {_ABOVE_SQL}, {_NUMBER_SQL.format("o")} AS id, {_OUTER_ID} AS parent_id, {_text_sql("label")} AS heading FROM {_OUTER_SQL} WHERE o.kind = 'note'""",
     "p5_found": f"""WITH RECURSIVE {SECTIONS_SQL} SELECT DISTINCT s.record_id,
         (SELECT arg_max(r.sha1, length(r.fullkey)) FROM revision r WHERE {_AROUND.format("r")}) AS sha1, s.id AS section_id,
         coalesce((SELECT arg_max(o.id, length(o.fullkey)) FROM section o WHERE {_AROUND.format("o")}), 0) AS parent_id FROM section s""",

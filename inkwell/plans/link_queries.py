@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions.names import category_name
+from inkwell.functions.arrow import deflated, inflated
+from inkwell.functions.names import category_name, namespace
 from inkwell.functions.text import clean_sha1
 from inkwell.operators import graph as G
 from inkwell.operators import sets as U
 from inkwell.operators import vectors as V
 from inkwell.operators.index import dense_ids, running_totals, term_freq
-from inkwell.operators.search import bm25_scores, rank_position, top
+from inkwell.operators.search import bm25_scores, rank_position, top, top_per_group
 from inkwell.plans.index_queries import QUERY, bm25_sql, stored
+from inkwell.session import shared_folder
+from inkwell.sources.files import convert_table, read_pages, write_pages
 from inkwell.sources.tables import articles, table
+from inkwell.sources.vectors import VectorStore
 
 K, DIMS, CATEGORY_DIMS = 10, 64, 8
 
@@ -74,6 +80,10 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "category_tree_table").select(category_name("category").alias("category"), "vector").where("category IS NOT NULL")
 
 
+def tree_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "category_tree_table").select("category", namespace("category").alias("namespace"))
+
+
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     return G.clean_edges(table(spark, folder, "category_edge").select(category_name("src").alias("src"), category_name("dst").alias("dst")))
 
@@ -155,7 +165,61 @@ def _resume_open(spark, folder):
     return U.resume(pages.select("page_id", "file").distinct(), arrived.join(loaded, "file").where("loaded >= arrived"), "file").select("page_id", "file")
 
 
+def _ensemble(spark, folder):
+    """For each label the ten rows nearest to any of its queries: an ensemble of queries answers as one."""
+    rows = vectors(spark, folder)
+    found = V.nearest(_asked(rows), rows, K, "cosine", skip_self=True)
+    labelled = found.join(F.broadcast(_asked(rows).select(F.col("id").alias("query_id"), "label")), "query_id")
+    best = labelled.groupBy("label", "id").agg(F.min("distance").alias("distance")).withColumn("score", -F.col("distance"))
+    return top_per_group(best, "label", K, "score", "id").select("label", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def _stored_vectors(spark, folder):
+    """The vectors written to a store in two parts, one of them narrowed to a query's table, and read again."""
+    rows = vectors(spark, folder).select("id", "vector", "label")
+    store = VectorStore(spark, f"{shared_folder(spark)}/vectors-{uuid4().hex}", DIMS)
+    store.create("all", rows.where("label < 5"))
+    store.append("all", rows.where("label >= 5"))
+    name = store.query_name(QUERY)
+    store.create(name, store.open("all").where("label = 3"))
+    narrowed = store.open(name)
+    return store.open("all").join(narrowed.select("id", F.lit(True).alias("kept")), "id", "left").select("id", "label", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def _page_xml(spark, folder):
+    """The pages written as a dump and scanned again: titles, redirects and sha1."""
+    path = f"{shared_folder(spark)}/dump-{uuid4().hex}"
+    write_pages(page(spark, folder).where("sha1 IS NOT NULL AND title IS NOT NULL"), path)
+    return read_pages(spark, path).select("title", "sha1", F.length(F.translate("text", "\r\n \t\u00a0", "")).alias("chars"))
+
+
+def _convert_equal(spark, folder):
+    """Is a table the same after it went through another format? One row per format."""
+    at = f"{shared_folder(spark)}/formats-{uuid4().hex}"
+    rows = [(form, convert_table(spark, f"{folder}/category_doc.parquet", "parquet", f"{at}/{form}", form)) for form in ("json", "orc", "csv")]
+    return spark.createDataFrame(rows, "form string, same boolean")
+
+
+def _category_edges(spark, folder):
+    """Edges from the categories that a page names in its text to the page itself, by its title, as among pages of categories."""
+    pages = page(spark, folder).where("title IS NOT NULL AND text IS NOT NULL").select(category_name("title").alias("dst"), "text")
+    lines = pages.select("dst", F.explode(F.split("text", r"\r\n|\r|\n")).alias("line"))
+    links = lines.where(F.col("line").startswith("[[Category:") & F.col("line").endswith("]]"))
+    return links.select(category_name(F.regexp_replace("line", r"^\[\[|\]\]$", "")).alias("src"), "dst").distinct()
+
+
 QUERIES = {
+    "ensemble_knn": _ensemble,
+    "stored_vectors": _stored_vectors,
+    "page_xml": _page_xml,
+    "convert_equal": _convert_equal,
+    "title_edges": _category_edges,
+    "namespace_counts": lambda s, f: tree_names(s, f).groupBy("namespace").agg(F.count("*").alias("names")),
+    "article_titles": lambda s, f: page(s, f).where((namespace("title") != 14) & ~_redirect()).select("title").distinct(),
+    "value_stats": lambda s, f: table(s, f, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean")),
+    "codec_zip": lambda s, f: table(s, f, "documents").select("doc_id", (inflated(deflated("text")) == F.col("text")).alias("same"), (F.length(deflated("text")) > 0).alias("packed")),
+    "subset_open": lambda s, f: U.subset_violations(members(s, f), articles(page(s, f)).select(F.col("page_id").alias("doc_id")), "doc_id"),
+    "coverage_open": lambda s, f: G.nodes_of(edges(s, f)).withColumnRenamed("node", "category").join(members(s, f).select("category").distinct(), "category", "left_anti"),
     "bad_vector_filter": lambda s, f: V.good_vectors(tree(s, f), "vector", CATEGORY_DIMS).groupBy("category").agg(F.count("*").alias("rows")),
     "knn_l2": _knn("l2"),
     "knn_cosine": _knn("cosine"),
@@ -221,7 +285,21 @@ def _knn_sql(distance: str, where: str = "TRUE") -> str:
 
 _COS, _L2 = "1 - list_cosine_similarity(a.v, b.v)", "list_distance(a.v, b.v)"
 _ROBIN = f"WITH ranked AS ({_knn_sql(_COS)}) SELECT row_number() OVER (ORDER BY rank, query_id) AS place, query_id, id FROM ranked"
+_SPACELESS = "translate({0}, chr(13) || chr(10) || chr(32) || chr(9) || chr(160), '')"
 SQL = {
+    "ensemble_knn": f"""WITH {_GOOD}, pairs AS (SELECT a.id AS query_id, a.label, b.id, round({_COS}, 9) AS distance FROM good a JOIN good b ON a.id <> b.id WHERE a.id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS n FROM pairs), best AS (SELECT label, id, min(distance) AS distance FROM r WHERE n <= {K} GROUP BY label, id),
+        t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, id) AS rank FROM best) SELECT label, id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= {K}""",
+    "stored_vectors": f"WITH {_GOOD} SELECT id, label, coalesce(label = 3, FALSE) AS kept FROM good WHERE label IS NOT NULL",
+    "page_xml": f"SELECT title, regexp_replace(sha1, '\\s', '', 'g') AS sha1, CAST(length({_SPACELESS.format('text')}) AS INTEGER) AS chars FROM page WHERE sha1 IS NOT NULL AND title IS NOT NULL",
+    "convert_equal": "SELECT unnest(['json', 'orc', 'csv']) AS form, TRUE AS same",
+    "title_edges": f"WITH rows AS (SELECT DISTINCT {_norm('title')} AS dst, text FROM page WHERE title IS NOT NULL AND text IS NOT NULL), lines AS (SELECT dst, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM rows), links AS (SELECT dst, regexp_replace(line, '^\\[\\[|\\]\\]$', '', 'g') AS c FROM lines WHERE starts_with(line, '[[Category:') AND ends_with(line, ']]')) SELECT DISTINCT {_norm('c')} AS src, dst FROM links",
+    "namespace_counts": "SELECT CAST(CASE WHEN category IS NULL THEN NULL WHEN lower(trim(regexp_extract(category, '^([^:]*):', 1))) = 'category' THEN 14 ELSE 0 END AS INTEGER) AS namespace, count(*) AS names FROM category_tree_table GROUP BY 1",
+    "article_titles": "SELECT DISTINCT title FROM page WHERE title IS NOT NULL AND NOT starts_with(lower(title), 'category:') AND NOT regexp_matches(coalesce(redirect, ''), '\\S')",
+    "value_stats": "SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
+    "codec_zip": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN TRUE END AS same, CASE WHEN text IS NOT NULL THEN TRUE END AS packed FROM documents",
+    "subset_open": f"WITH {_MEMBERS}, {_ARTICLE} SELECT DISTINCT doc_id FROM members WHERE doc_id NOT IN (SELECT page_id FROM article)",
+    "coverage_open": f"WITH {_EDGES}, {_MEMBERS} SELECT node AS category FROM nodes WHERE node NOT IN (SELECT category FROM members)",
     "bad_vector_filter": f"WITH {_TREE} SELECT category, count(*) AS rows FROM tree WHERE len(vector) = {CATEGORY_DIMS} AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY category",
     "knn_l2": _knn_sql(_L2),
     "knn_cosine": _knn_sql(_COS),

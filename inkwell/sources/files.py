@@ -38,6 +38,26 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", compression: st
     (writer.option("compression", compression) if compression else writer).save(path)
 
 
+def content_hash(df: DataFrame) -> DataFrame:
+    """One row: rows and hash of df, the same however its rows are ordered and spread."""
+    each = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    return df.select(each.alias("h")).agg(F.count("*").alias("rows"), F.sum("h").alias("hash"))
+
+
+def convert_table(spark: SparkSession, path: str, form: str, target: str, target_form: str, schema: str | None = None) -> bool:
+    """Write the table at path in another format; does what is read back hold the same rows?"""
+    rows = read_table(spark, path, form, schema)
+    write_table(rows, target, target_form)
+    again = read_table(spark, target, target_form, rows._jdf.schema().toDDL()).select(*rows.columns)
+    return content_hash(rows).head() == content_hash(again).head()
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """The inverse of read_pages() for pages(title, text, sha1, redirect)."""
+    revision = F.struct("sha1", "text").alias("revision")
+    pages.select("title", "redirect", revision).write.mode("overwrite").format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+
+
 def read_edges(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """src, dst of a graph stored as parquet, csv (src, dst), edgelist ('src dst ...'), adjacency JSON or GraphML. Directions are kept."""
     if form == "edgelist":

@@ -45,8 +45,14 @@ def test_levels_leaves_cycles(spark):
     assert {r.node for r in G.leaves(edges, G.roots(edges)).collect()} == {"z"}
     dag = {tuple(r) for r in G.without_cycles(edges, start).collect()}
     assert ("d", "a") not in dag and ("c", "d") in dag
-    pairs = {tuple(r) for r in G.closure(edges).collect()}
-    assert ("a", "a") in pairs and ("r", "d") in pairs and ("a", "r") not in pairs
+
+
+def test_levels_of_a_long_chain(spark):
+    chain = spark.range(40).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst").union(spark.createDataFrame([("n9", "n2"), ("n0", "n5")], "src string, dst string"))
+    start = spark.createDataFrame([("n0",), (None,), ("n0",)], "node string")
+    want = {f"n{i}": i if i < 5 else i - 4 for i in range(41)}
+    assert {r.node: r.depth for r in G.levels(chain, start).collect()} == want
+    assert {r.node for r in G.levels(chain, start, 3).collect()} == {n for n, d in want.items() if d <= 3}
 
 
 def test_same_graph(spark):
