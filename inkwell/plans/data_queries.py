@@ -43,6 +43,12 @@ def p1_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return category_forest(spark, folder).where("depth >= 0").select(F.col("name").alias("category"), "root", "first", "last")
 
 
+def p1_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """How many positions each category's interval holds, and whether the first is that of the root."""
+    rows = p1_intervals(spark, folder)
+    return rows.select("category", "root", (F.col("last") - F.col("first")).alias("span"), (F.col("first") == 0).alias("top"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = flatten_records(table(spark, folder, "raw_record"), ["record_id", "sha1", "id", "parent_id"], ("section",))
     return rows.withColumnRenamed("id", "section_id").distinct()
@@ -120,7 +126,7 @@ def _text_sql(key: str) -> str:
 
 _AROUND = "{0}.record_id = s.record_id AND (starts_with(s.fullkey, {0}.fullkey || '.') OR starts_with(s.fullkey, {0}.fullkey || '['))"
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p1_intervals": p1_intervals, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p1_intervals": p1_intervals, "p1_spans": p1_spans, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
            "p5_sections": p5_sections, "p5_notes": p5_notes}
 SQL = {
     "p1_found": f"WITH RECURSIVE {NAMES_SQL} SELECT n.name AS category, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth FROM nodes n LEFT JOIN down d ON n.name = d.name",
@@ -138,6 +144,10 @@ SQL = {
     "p1_cycles": f"""WITH RECURSIVE {NAMES_SQL}, lost AS (SELECT n.name, n.parent FROM nodes n LEFT JOIN down d ON n.name = d.name WHERE d.name IS NULL),
         walk AS (SELECT name, parent AS above FROM lost UNION SELECT w.name, l.parent FROM walk w JOIN lost l ON w.above = l.name)
         SELECT name AS category, CASE WHEN bool_or(name = above) THEN 'on' ELSE 'below' END AS cyclic FROM walk GROUP BY name""",
+    "p1_spans": f"""WITH RECURSIVE {NAMES_SQL}, up AS (SELECT name AS below, parent AS above FROM down WHERE parent IS NOT NULL
+          UNION ALL SELECT u.below, n.parent FROM up u JOIN nodes n ON u.above = n.name WHERE n.parent IS NOT NULL),
+        sizes AS (SELECT above, count(*) AS n FROM up GROUP BY above)
+        SELECT d.name AS category, d.root, coalesce(s.n, 0) AS span, d.depth = 0 AS top FROM down d LEFT JOIN sizes s ON d.name = s.above""",
     "p5_pages": f"""WITH RECURSIVE {OBJECTS_SQL} SELECT o.record_id, label, {_ABOVE_SQL}, {_text_sql("title")} AS title, {_text_sql("redirect")} AS redirect FROM {_OUTER_SQL} WHERE o.kind = 'page'""",
     "p5_revisions": f"""WITH RECURSIVE {OBJECTS_SQL} SELECT o.record_id, label, {_ABOVE_SQL}, regexp_replace({_text_sql("sha1")}, '\\s', '', 'g') AS sha1, {_text_sql("text")} AS text FROM {_OUTER_SQL} WHERE o.kind = 'revision'""",
     "p5_sections": f"""WITH RECURSIVE {OBJECTS_SQL} SELECT o.record_id, label, {_ABOVE_SQL}, {_NUMBER_SQL.format("o")} AS id, coalesce({_near("section", _NUMBER_SQL.format("a"))}, 0) AS parent_id,

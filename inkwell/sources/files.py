@@ -11,6 +11,8 @@ from inkwell.functions.text import clean_sha1
 PAGE = "title string, redirect string, revision struct<sha1: string, text: string>, sha1 string, text string"
 RESULT = "score double, doc string, text string, start int, end int"
 FORMATS = ("parquet", "json", "csv", "orc")
+#: So that texts with quotes, line ends or outer white space come back as they were; null is written as \N.
+EXACT = {"csv": {"escape": '"', "nullValue": "\\N", "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}}
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -27,14 +29,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, form: str = "parquet", schema: str | None = None) -> DataFrame:
     if form not in FORMATS:
         raise ValueError(f"unknown format {form}")
-    reader = spark.read.format(form)
+    reader = spark.read.format(form).options(**EXACT.get(form, {}))
     return (reader.schema(schema) if schema else reader).load(path)
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", compression: str | None = None, mode: str = "overwrite") -> None:
     if form not in FORMATS:
         raise ValueError(f"unknown format {form}")
-    writer = df.write.mode(mode).format(form)
+    writer = df.write.mode(mode).format(form).options(**EXACT.get(form, {}))
     (writer.option("compression", compression) if compression else writer).save(path)
 
 

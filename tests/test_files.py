@@ -1,6 +1,9 @@
+import numpy as np
 import pytest
 
+from inkwell.functions.names import namespace
 from inkwell.sources import files as S
+from inkwell.sources.vectors import VectorStore, embed_chunks
 from inkwell.streaming import counts as C
 
 XML = """<mediawiki><page><title>A</title><revision><sha1> ab c </sha1><text>hello &amp; bye</text></revision></page>
@@ -43,3 +46,39 @@ def test_streamed_counts(spark, tmp_path):
         stream = C.first_deliveries(C.read_documents(spark, source))
         C.write_counts(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert {r.word: r.df for r in C.doc_freq(spark, f"{tmp_path}/out").collect()} == {"red": 1, "cat": 2, "dog": 1}
+
+
+def test_conversion_keeps_rows(spark, tmp_path):
+    rows = [(1, " a\"b ", None), (2, "line\nend, \\", 0.5), (3, "", 1e300), (None, None, None), (2, "line\nend, \\", 0.5)]
+    df = spark.createDataFrame(rows, "id bigint, text string, x double")
+    S.write_table(df, f"{tmp_path}/one")
+    for form in ("json", "orc", "csv"):
+        assert S.convert_table(spark, f"{tmp_path}/one", "parquet", f"{tmp_path}/{form}", form)
+    assert S.content_hash(df).head() == S.content_hash(df.repartition(3)).head() != S.content_hash(df.limit(4)).head()
+
+
+def test_vector_store(spark, tmp_path):
+    store = VectorStore(spark, f"{tmp_path}/store", 2)
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id bigint, vector array<double>")
+    assert store.names() == [] and store.create("a", rows).count() == 1
+    store.append("a", rows)
+    store.create(store.query_name("red cat"), store.open("a"))
+    assert store.open("a").count() == 2 and len(store.names()) == 2
+    with pytest.raises(ValueError):
+        store.create("a", rows)
+    with pytest.raises(ValueError):
+        store.open("../a")
+    store.drop("a")
+    store.drop("a")
+    assert store.names() == [store.query_name("red cat")]
+
+
+def test_embedded_chunks_know_their_places(spark):
+    docs = spark.createDataFrame([(1, "one two\n\nthree", "q"), (2, None, "q"), (3, "", "q")], "doc_id bigint, text string, vector string")
+    rows = embed_chunks(docs, lambda parts: np.array([[len(p), p.count("e")] for p in parts]), 8).collect()
+    assert sorted((r.doc_id, r.text_idx, r.text_len, tuple(r.vector)) for r in rows) == [(1, 0, 7, (7.0, 1.0)), (1, 9, 5, (5.0, 2.0))]
+
+
+def test_namespaces(spark):
+    rows = spark.createDataFrame([("Category:A",), ("category : b",), ("Help:x:y",), ("Red: a colour",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in rows.select(namespace("t")).collect()] == [14, 14, 12, 0, 0, None]
