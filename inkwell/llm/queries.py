@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.distinctive import most_distinctive, term_scores
 from inkwell.llm.leaks import find_leaks
 from inkwell.llm.markup import strip_markup
-from inkwell.llm.mixture import count_tokens, mix, report
+from inkwell.llm.mixture import count_tokens, mix, report, source_name
 from inkwell.llm.pieces import split_texts
 from inkwell.llm.quality import text_quality
 from inkwell.llm.sentences import split_sentences
@@ -114,6 +114,59 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(table(spark, folder, "documents"), with_text=False).select("doc_id", "sent_end")
 
 
+# Queries whose results SQL can say although it can't say the operator: what must hold for them.
+
+
+def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of articles without any sign of markup: their blocks are the text, but for white space, and hold no kinds."""
+    plain = _articles(spark, folder).where(~F.col("text").rlike(PLAIN_SIGNS)).withColumnRenamed("page_id", "key")
+    marked = F.size(F.filter("blocks", lambda b: F.size(b["kinds"]) > 0))
+    return strip_markup(plain).select(F.col("key").alias("page_id"), _solid(F.array_join(F.transform("blocks", lambda b: b["text"]), "")).alias("chars"), marked.alias("marked"))
+
+
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_statistics(spark, folder).select("page_id", "words", F.round("mean_word", 6).alias("mean_word"))
+
+
+def p7_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Per article: characters of the pieces without what they share, whether all are within the limit, and whether the pieces hold what their places say."""
+    pieces, share = p7_pieces(spark, folder), F.col("piece_end") - F.col("piece_start") - F.when(F.col("piece_no") > 1, 200).otherwise(0)
+    held = F.length("piece") == F.col("piece_end") - F.col("piece_start")
+    return pieces.groupBy("page_id").agg(F.sum(share).alias("chars"), (F.max(F.length("piece")) <= 2000).alias("within"), F.min(held).alias("held"))
+
+
+def p8_verbatim(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaks found whose passage stands in the document letter by letter."""
+    texts = table(spark, folder, "documents").select("doc_id", F.col("text").alias("whole"))
+    items = table(spark, folder, "eval_item").select("item_id", F.col("text").alias("passage"))
+    found = p8_found(spark, folder).join(texts, "doc_id").join(F.broadcast(items), "item_id")
+    return found.where(F.contains("whole", "passage")).select("doc_id", "item_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: is it short, and does the mixture keep max_repeats?"""
+    counted, targets = _counted(spark, folder), table(spark, folder, "mix_target")
+    mixture = cut_lineage(mix(counted, targets, exact=True))
+    most = mixture.groupBy("source").agg(F.max("copies").alias("copies"))
+    rows = report(mixture, counted, targets).select("source", "short").join(F.broadcast(most), "source", "left")
+    limits = targets.select(source_name("source").alias("source"), "max_repeats")
+    return rows.join(F.broadcast(limits), "source").select("source", "short", (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("within"))
+
+
+def p10_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: letters and digits of its units, none lost and none twice, and whether each unit stands where it says."""
+    units = p10_sentences(spark, folder)
+    held = F.length("sentence") == F.col("sent_end") - F.col("sent_start") + 1
+    return units.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("sentence", r"[^\p{L}\p{N}]", ""))).alias("letters"), F.min(held).alias("held"))
+
+
+PLAIN_SIGNS = r"[^\p{L}\p{N} .,\r\n]"
+
+
+def _solid(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[ \r\n]", ""))
+
+
 ARTICLES = "article AS (SELECT page_id, min(text) AS text FROM page WHERE page_id IS NOT NULL AND text IS NOT NULL AND trim(coalesce(redirect, '')) = '' GROUP BY page_id)"
 TOKENS = "token AS (SELECT page_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM article), tf AS (SELECT page_id, word, count(*) AS tf FROM token GROUP BY ALL)"
 LISTED = "listed AS (SELECT DISTINCT regexp_replace(lower(word), '^\\s+|\\s+$', '', 'g') AS word FROM idf WHERE regexp_replace(lower(word), '^\\s+|\\s+$', '', 'g') <> '')"
@@ -128,7 +181,8 @@ SCORED = f"""{ARTICLES}, {TOKENS}, {LISTED}, total AS (SELECT count(*) AS n FROM
 QUERIES = {"p2_found": p2_found, "p2_marked": p2_marked, "p3_found": p3_found, "p3_clean": p3_clean,
            "p4_found": p4_found, "p4_statistics": p4_statistics, "p6_found": p6_found, "p6_scores": p6_scores,
            "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report, "p9_weighted": p9_weighted,
-           "p10_found": p10_found, "p10_sentences": p10_sentences}
+           "p10_found": p10_found, "p10_sentences": p10_sentences, "p3_blocks": p3_blocks, "p4_counts": p4_counts, "p7_lengths": p7_lengths, "p8_verbatim": p8_verbatim,
+           "p9_shares": p9_shares, "p10_letters": p10_letters}
 # what residue looks like in these tables, in RE2; written apart from the scanner's rules, as a check on them
 RESIDUE = {
     "html": r"</?(?i:a|b|br|div|li|p|ref|span|sup|table|td|th|tr|ul)[\s>/]|<!--|&(?:lt|gt|amp|nbsp|#[0-9]+);",
@@ -138,6 +192,14 @@ RESIDUE = {
 }
 _RESIDUE = " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind FROM article WHERE regexp_matches(text, '{rule}')" for kind, rule in RESIDUE.items())
 SQL = {
+    "p3_blocks": f"WITH {ARTICLES} SELECT page_id, CAST(length(regexp_replace(text, '[ \\r\\n]', '', 'g')) AS INTEGER) AS chars, 0 AS marked FROM article WHERE NOT regexp_matches(text, '[^\\p{{L}}\\p{{N}} .,\\r\\n]')",
+    "p4_counts": f"""WITH {ARTICLES}, w AS (SELECT page_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS list FROM article)
+        SELECT page_id, len(list) AS words, CASE WHEN len(list) = 0 THEN 0.0 ELSE round(length(array_to_string(list, '')) / len(list), 6) END AS mean_word FROM w""",
+    "p7_lengths": f"WITH {ARTICLES} SELECT page_id, length(text) AS chars, TRUE AS within, TRUE AS held FROM article",
+    "p8_verbatim": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN eval_item e ON contains(d.text, e.text)",
+    "p9_shares": """WITH t AS (SELECT trim(lower(source)) AS source, sum(coalesce(strlen(text), 0)) AS b FROM documents GROUP BY 1)
+        SELECT trim(lower(m.source)) AS source, coalesce(b, 0) * max_repeats < target_share * (SELECT sum(b) FROM t) AS short, TRUE AS within FROM mix_target m LEFT JOIN t ON trim(lower(m.source)) = t.source""",
+    "p10_letters": "SELECT doc_id, CAST(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS BIGINT) AS letters, TRUE AS held FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n\\x{00a0}\\x{3000}]')",
     "p3_found": f"WITH {ARTICLES} {_RESIDUE}",
     # bytes stand for tokens: the answer is the same for any usual tokenizer
     "p9_found": """WITH t AS (SELECT trim(lower(source)) AS source, sum(coalesce(strlen(text), 0)) AS b FROM documents GROUP BY 1)
