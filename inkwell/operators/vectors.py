@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import inkwell.functions.arrow  # noqa: F401  lets the functions below travel with the plan
+from inkwell.session import written
 
 #: Queries compared with all rows in one pass; more are taken in several passes.
 QUERY_BLOCK = 5_000
@@ -104,9 +105,15 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", ski
 TUNE_QUERIES = 200
 
 
-def fit_cells(rows: DataFrame, cells: int, k: int = 10, target: float = 0.95, seed: int = 1, rounds: int = 12) -> tuple[np.ndarray, int]:
+#: Cells of the approximate index, at most. Larger collections have larger cells, which are compared in parts.
+MOST_CELLS = 1_024
+
+
+def fit_cells(rows: DataFrame, cells: int | None = None, k: int = 10, target: float = 0.95, seed: int = 1, rounds: int = 12) -> tuple[np.ndarray, int]:
     """(centres, probes): centres of the cells by k-means, and how many cells to probe for a recall of about target.
 
+    cells: the square root of the number of rows, at most MOST_CELLS, if not given.
+
     Both are fitted on at most FIT_ROWS of rows(id, vector), those first by a hash of their id: probes is the least number
     with which at most TUNE_QUERIES of them find the share target of their k nearest others among them.
     """
@@ -114,6 +121,7 @@ def fit_cells(rows: DataFrame, cells: int, k: int = 10, target: float = 0.95, se
     points = np.array(some.vector.tolist(), dtype=np.float64)
     if len(points) == 0:
         return np.zeros((0, 0)), 1
+    cells = cells or max(1, min(MOST_CELLS, round(rows.count() ** 0.5)))
     centres = points[: min(cells, len(points))].copy()
     for _ in range(rounds):
         near = _distances(points, centres, "l2").argmin(axis=1)
@@ -132,9 +140,8 @@ def fit_cells(rows: DataFrame, cells: int, k: int = 10, target: float = 0.95, se
 def nearest_by_cells(queries: DataFrame, rows: DataFrame, k: int, centres: np.ndarray, probes: int, metric: str = "l2", skip_self: bool = False) -> DataFrame:
     """As nearest(), among the rows of the probes cells next to each query only. Every row is in exactly one cell.
 
-    Rows of a cell are spread over parts of about PART_ROWS at most, each of which gets the queries that probe the cell.
+    A cell of more than PART_ROWS rows is spread over as many parts as it needs; only its own queries are copied to them.
     """
-    parts = max(1, -(-rows.count() // PART_ROWS))
 
     def assign(count: int):
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,9 +153,12 @@ def nearest_by_cells(queries: DataFrame, rows: DataFrame, k: int, centres: np.nd
         return work
 
     schema = "id bigint, vector array<float>, cell bigint"
-    held = rows.select("id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(assign(1), schema).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    held = written(rows.select("id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(assign(1), schema))
+    # one row per cell
+    sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts"))
+    held = held.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
     asked = queries.select("id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(assign(probes), schema)
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    asked = asked.join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

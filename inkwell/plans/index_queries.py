@@ -298,6 +298,16 @@ def _on_docs(expr: str) -> str:
 # RE2 knows ASCII word ends only: words are put between control characters first
 _BRACED = f"regexp_replace({_raised(_raised(_plain(_enclosed('lower(text)')), T.SUBSCRIPTS), T.SUPERSCRIPTS)}, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g')"
 _BRACED_STOP = f"chr(1) || {_sql_literal('(?:' + '|'.join(T.STOP_WORDS) + ')')} || chr(2)"
+# runs between stop words and signs; RE2 has no look-around, so words stand between control characters
+_RUNS = f"regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s\\x27-]+', ' | ', 'g'), '([\\p{{L}}\\p{{N}}\\x27]+)', chr(1) || '\\1' || chr(2), 'g')"
+RAKE_SQL = f"""WITH runs AS (SELECT doc_id, replace(regexp_replace({_RUNS}, {_BRACED_STOP}, '|', 'g'), chr(1), '') AS marked FROM documents),
+    parts AS (SELECT doc_id, string_split(replace(marked, chr(2), ''), '|') AS list FROM runs),
+    pieces AS (SELECT doc_id, unnest(list) AS part, generate_subscripts(list, 1) AS place FROM parts),
+    phrase AS (SELECT doc_id, place, trim(regexp_replace(part, '\\s+', ' ', 'g')) AS phrase FROM pieces),
+    words AS (SELECT doc_id, place, phrase, unnest(string_split(phrase, ' ')) AS word, len(string_split(phrase, ' ')) AS length FROM phrase WHERE phrase <> ''),
+    weights AS (SELECT doc_id, word, sum(length) / count(*) AS weight FROM words GROUP BY ALL),
+    once AS (SELECT doc_id, place, phrase, sum(weight) AS score FROM words JOIN weights USING (doc_id, word) GROUP BY ALL)
+    SELECT doc_id, phrase, round(max(score), 6) AS score FROM once GROUP BY ALL"""
 _SPANS = "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n"
 SQL = {
     "simple_tokens": f"SELECT doc_id, CAST(n - 1 AS INTEGER) AS place, token FROM (SELECT doc_id, unnest({_TOKENS}) AS token, generate_subscripts({_TOKENS}, 1) AS n FROM documents)",
@@ -308,6 +318,7 @@ SQL = {
     "stopwords": _on_docs(f"array_to_string({_content('lower(text)')}, ' ')"),
     "keywords": f"SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex({_raised(_raised('words', T.SUBSCRIPTS), T.SUPERSCRIPTS)}, '{_WS}')) AS word FROM (SELECT doc_id, array_to_string({_content(_plain(_enclosed('lower(text)')))}, ' ') AS words FROM documents)) WHERE word <> ''",
     "keyphrases": f"SELECT DISTINCT doc_id, phrase FROM (SELECT doc_id, trim(regexp_replace(translate(unnest(string_split_regex({_BRACED}, {_BRACED_STOP})), chr(1) || chr(2), ''), '{_WS}', ' ', 'g'), ' ') AS phrase FROM documents) WHERE phrase <> ''",
+    "rake": RAKE_SQL,
     "sha256": _on_docs("sha256(text)"),
     "text_slice": _on_docs("substring(text, 11, 25)"),
     "size_profile": "SELECT file, CASE WHEN b > 1073741824 THEN printf('%.2f', b / 1073741824) || ' GB' WHEN b > 1048576 THEN printf('%.2f', b / 1048576) || ' MB' WHEN b > 1024 THEN printf('%.2f', b / 1024) || ' KB' ELSE b || ' Bytes' END AS size FROM (SELECT file, CAST(sum(strlen(text)) AS BIGINT) AS b FROM documents GROUP BY file)",

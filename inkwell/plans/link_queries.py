@@ -66,7 +66,7 @@ def _rerank(spark, folder):
 
 def _ann(spark, folder):
     rows = vectors(spark, folder)
-    centres, probes = V.fit_cells(rows, 16, K)
+    centres, probes = V.fit_cells(rows, k=K)
     found = V.nearest_by_cells(_asked(rows), rows, K, centres, probes, "l2", skip_self=True)
     return found.withColumn("distance", F.round("distance", 6))
 
