@@ -6,9 +6,9 @@ less than 2^k links below it. Each parent's largest child continues the parent's
 their own; a path from the top then crosses at most log2(n) chains. Positions inside chains, and then depths, roots and
 positions of the chains themselves, are again found by doubling. So the number of rounds grows with the logarithm of the
 depth, never with the depth. Children of one parent are never gathered in one task. Where all rows look up what is known
-of another node, those that many rows point to are looked up apart from the others (attach()); in the rounds, which only
-nodes with children take part in, every lookup is a left join with a side that has each key once, of which adaptive
-execution splits a skewed partition.
+of another node, the rows of one key are spread over parts (attach()); in the rounds, which only
+nodes with children take part in, every lookup is a sort-merge join with a side that has each key once, of which adaptive
+execution splits a skewed partition. Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -21,24 +21,19 @@ from inkwell.session import cut_lineage
 
 #: Parts in which the siblings below one parent are summed, so that a parent of a third of all rows is no hot key.
 SIBLING_PARTS = 64
-#: A key of one in HOT rows or more is hot; there can't be more than HOT of them.
-HOT = 128
+#: Parts over which rows with one key are spread where they look it up.
+LOOKUP_PARTS = 64
 
 
-def attach(rows: DataFrame, key: str, known: DataFrame, total: int) -> DataFrame:
+def attach(rows: DataFrame, key: str, known: DataFrame, spread: str) -> DataFrame:
     """rows with the columns of known(key, ...), which has each key once; null where it has none.
 
-    total: how many rows there are at most. What is known of hot keys, with one in HOT of them or more, is at most HOT
-    rows and is broadcast, so rows of one key need not meet in one task; the others are shuffled. rows and known are
-    read more than once and should be written.
+    Rows are spread over LOOKUP_PARTS by their column spread. What is known of a key first goes to each part that has
+    it, so a key of most rows is no hot key, and nothing is broadcast. rows are read twice and should be written.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") * HOT >= max(total, 4 * HOT)).select(key)
-    few = known.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))
-    often = rows.join(F.broadcast(few), key, "left")
-    names = [c for c in often.columns if c != "_hot"]
-    rare = rows.join(F.broadcast(hot), key, "left_anti").join(known, key, "left").select(names)
-    return often.where("_hot").select(names).unionByName(rare)
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(LOOKUP_PARTS)))
+    needed = parted.where(F.col(key).isNotNull()).select(key, "_part").distinct().join(known.hint("merge"), key)
+    return parted.join(needed.hint("merge"), [key, "_part"], "left").drop("_part")
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFrame:
@@ -59,18 +54,17 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
         .where(F.col("name").isNotNull())
         .distinct()
     )
-    named = cut_lineage(names.join(links, "name", "left").withColumn("id", F.monotonically_increasing_id()))
+    named = cut_lineage(names.join(links.hint("merge"), "name", "left").withColumn("id", F.monotonically_increasing_id()))
     ids = named.select(F.col("name").alias("parent"), F.col("id").alias("pid"))
-    total = named.count()
-    linked = cut_lineage(attach(named, "parent", ids, total).select("id", "name", "parent", "pid"))
+    linked = cut_lineage(attach(named, "parent", ids, "name").select("id", "name", "parent", "pid"))
     kids = linked.where("pid IS NOT NULL").groupBy(F.col("pid").alias("id")).agg(F.count("*").alias("kids"))
-    marked = cut_lineage(linked.join(kids, "id", "left"))
+    marked = cut_lineage(linked.join(kids.hint("merge"), "id", "left"))
     leaf = marked.where("kids IS NULL").drop("kids")
     hanging = leaf.where("pid IS NOT NULL").groupBy(F.col("pid").alias("id")).agg(F.count("*").alias("leaves"))
-    core = marked.where("kids IS NOT NULL").join(hanging, "id", "left").select("id", "name", "parent", "pid", F.coalesce("leaves", F.lit(0)).alias("leaves"))
-    core = cut_lineage(core.join(_sizes(core), "id"))
-    placed = cut_lineage(_place(core, core.count(), paths))
-    return placed.drop("id", "inner").unionByName(_leaves(leaf, total, placed, paths))
+    core = marked.where("kids IS NOT NULL").join(hanging.hint("merge"), "id", "left").select("id", "name", "parent", "pid", F.coalesce("leaves", F.lit(0)).alias("leaves"))
+    core = cut_lineage(core.join(_sizes(core).hint("merge"), "id"))
+    placed = cut_lineage(_place(core, paths))
+    return placed.drop("id", "inner").unionByName(_leaves(leaf, placed, paths))
 
 
 def _sizes(core: DataFrame) -> DataFrame:
@@ -83,7 +77,7 @@ def _sizes(core: DataFrame) -> DataFrame:
         below = state.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("tree").alias("tree2"))
         state = cut_lineage(
-            state.join(above, "up", "left").join(below, "id", "left").select(
+            state.join(above.hint("merge"), "up", "left").join(below.hint("merge"), "id", "left").select(
                 "id", F.col("up2").alias("up"),
                 (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
                 (F.col("tree") | F.coalesce("tree2", F.lit(False))).alias("tree"),
@@ -97,10 +91,10 @@ def _sizes(core: DataFrame) -> DataFrame:
     count = rest.count()
     while 2**rounds < count:
         ahead = rest.select(F.col("id").alias("end"), F.col("end").alias("end2"))
-        rest = cut_lineage(rest.join(ahead, "end", "left").select("id", F.col("end2").alias("end")))
+        rest = cut_lineage(rest.join(ahead.hint("merge"), "end", "left").select("id", F.col("end2").alias("end")))
         rounds += 1
     ring = rest.select(F.col("end").alias("id")).distinct().withColumn("ring", F.lit(True))
-    return state.join(ring, "id", "left").select("id", "size", "tree", F.coalesce("ring", F.lit(False)).alias("ring"))
+    return state.join(ring.hint("merge"), "id", "left").select("id", "size", "tree", F.coalesce("ring", F.lit(False)).alias("ring"))
 
 
 def _double(state: DataFrame, more: list[Column], columns: list[str]) -> DataFrame:
@@ -111,25 +105,25 @@ def _double(state: DataFrame, more: list[Column], columns: list[str]) -> DataFra
         ahead = whole.select(F.col("id").alias("up"), F.col("up").alias("up2"), *(F.col(c).alias(f"{c}2") for c in columns))
         ended = active.where("up IS NULL")
         done = ended if done is None else done.union(ended)
-        active = cut_lineage(active.where("up IS NOT NULL").join(ahead, "up").select("id", F.col("up2").alias("up"), *more))
+        active = cut_lineage(active.where("up IS NOT NULL").join(ahead.hint("merge"), "up").select("id", F.col("up2").alias("up"), *more))
         whole = done.unionByName(active)
     return whole
 
 
-def _chains(inside: DataFrame, total: int) -> DataFrame:
+def _chains(inside: DataFrame) -> DataFrame:
     """id, head of its chain, place on the chain from 0, and for heads of light chains the offset behind their elder siblings."""
     child = inside.where(F.col("pid").isNotNull())
     heavy = child.groupBy("pid").agg(F.min_by(F.struct("id", "size"), F.struct(-F.col("size"), F.col("name"))).alias("h"))
     heavy = cut_lineage(heavy.select("pid", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size")))
     part = F.pmod(F.xxhash64("name"), F.lit(SIBLING_PARTS))
-    light = attach(child, "pid", heavy, total).where(F.col("id") != F.col("heavy")).select("id", "pid", "name", "size", "heavy_size", part.alias("part"))
+    light = attach(child, "pid", heavy, "id").where(F.col("id") != F.col("heavy")).select("id", "pid", "name", "size", "heavy_size", part.alias("part"))
     light = cut_lineage(light)
     offset = _elders(light, "size").select("id", (F.col("heavy_size") + F.col("elder")).alias("skip"))
-    start = inside.join(heavy.select(F.col("heavy").alias("id"), F.lit(True).alias("is_heavy")), "id", "left")
+    start = inside.join(heavy.select(F.col("heavy").alias("id"), F.lit(True).alias("is_heavy")).hint("merge"), "id", "left")
     start = start.select("id", F.when(F.col("is_heavy"), F.col("pid")).alias("up"), F.when(F.col("is_heavy"), F.col("pid")).otherwise(F.col("id")).alias("head"),
                          F.when(F.col("is_heavy"), 1).otherwise(0).cast("bigint").alias("place"))
     ended = _double(start, [F.col("head2").alias("head"), (F.col("place") + F.col("place2")).alias("place")], ["head", "place"])
-    return cut_lineage(ended.select("id", "head", "place").join(offset, "id", "left"))
+    return cut_lineage(ended.select("id", "head", "place").join(offset.hint("merge"), "id", "left"))
 
 
 def _elders(rows: DataFrame, value: str) -> DataFrame:
@@ -138,16 +132,16 @@ def _elders(rows: DataFrame, value: str) -> DataFrame:
     parts = rows.groupBy("pid", "part").agg(F.sum(value).alias("part_size"))
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(W.partitionBy("pid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = rows.withColumn("elder", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return within.join(parts.select("pid", "part", "ahead"), ["pid", "part"]).withColumn("elder", F.col("elder") + F.col("ahead")).drop("ahead")
+    return within.join(parts.select("pid", "part", "ahead").hint("merge"), ["pid", "part"]).withColumn("elder", F.col("elder") + F.col("ahead")).drop("ahead")
 
 
-def _place(core: DataFrame, total: int, paths: bool) -> DataFrame:
+def _place(core: DataFrame, paths: bool) -> DataFrame:
     """Concatenate chains from the top: depth, root, interval and path of each node that has children, with its id and inner, its size without its leaves."""
     inside = core.where("tree").select("id", "name", "parent", "pid", "size", "leaves")
-    chained = _chains(inside, total)
+    chained = _chains(inside)
     at = chained.select(F.col("id").alias("pid"), F.col("head").alias("above"), F.col("place").alias("above_place"))
-    heads = chained.where(F.col("id") == F.col("head")).join(inside.select("id", "pid"), "id")
-    heads = cut_lineage(heads.select("id", "skip", "pid").join(at, "pid", "left"))
+    heads = chained.where(F.col("id") == F.col("head")).join(inside.select("id", "pid").hint("merge"), "id")
+    heads = cut_lineage(heads.select("id", "skip", "pid").join(at.hint("merge"), "pid", "left"))
     start = heads.select(
         "id", F.col("above").alias("up"), F.coalesce("above", F.col("id")).alias("top"),
         F.coalesce(F.col("above_place") + 1, F.lit(0)).alias("depth"),
@@ -159,15 +153,15 @@ def _place(core: DataFrame, total: int, paths: bool) -> DataFrame:
     if paths:
         chains = chained.join(inside.select("id", "name"), "id").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("all"))
         chains = cut_lineage(chains.select("head", F.col("all.name").alias("names")))
-        cuts = attach(heads.select("id", "above", "above_place"), "above", chains.withColumnRenamed("head", "above"), total)
+        cuts = attach(heads.select("id", "above", "above_place"), "above", chains.withColumnRenamed("head", "above"), "id")
         start = start.join(cuts.select("id", F.coalesce(F.slice("names", F.lit(1), (F.col("above_place") + 1).cast("int")), F.array().cast("array<string>")).alias("ahead")), "id")
         columns.append("ahead")
         more.append(F.concat("ahead2", "ahead").alias("ahead"))
     tops = cut_lineage(_double(start, more, columns))
     roots = inside.where(F.col("pid").isNull()).select(F.col("id").alias("top"), F.col("name").alias("root"))
-    tops = tops.drop("up").join(roots, "top").select(F.col("id").alias("head"), "root", F.col("depth").alias("head_depth"), F.col("first").alias("head_first"), *(["ahead"] if paths else []))
-    full = cut_lineage(inside.join(chained.select("id", "head", "place"), "id"))
-    full = attach(full, "head", cut_lineage(tops.join(chains, "head") if paths else tops), total)
+    tops = tops.drop("up").join(roots.hint("merge"), "top").select(F.col("id").alias("head"), "root", F.col("depth").alias("head_depth"), F.col("first").alias("head_first"), *(["ahead"] if paths else []))
+    full = cut_lineage(inside.join(chained.select("id", "head", "place").hint("merge"), "id"))
+    full = attach(full, "head", cut_lineage(tops.join(chains, "head") if paths else tops), "id")
     first = F.col("head_first") + F.col("place")
     known = full.select(
         "id", "name", "parent", "root", (F.col("head_depth") + F.col("place")).alias("depth"),
@@ -178,12 +172,12 @@ def _place(core: DataFrame, total: int, paths: bool) -> DataFrame:
     return known.unionByName(core.where(~F.col("tree")).select("id", "name", "parent", F.when(F.col("ring"), "on").otherwise("below").alias("cyclic"), F.lit("").alias("root"), F.lit(-1).cast("bigint").alias("depth")), allowMissingColumns=True)
 
 
-def _leaves(leaf: DataFrame, total: int, placed: DataFrame, paths: bool) -> DataFrame:
+def _leaves(leaf: DataFrame, placed: DataFrame, paths: bool) -> DataFrame:
     """The rows of the nodes without children, from those of their parents: their positions follow those of all other children."""
     above = placed.select(F.col("id").alias("pid"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("first").alias("up_first"), "inner", *([F.col("path").alias("up_path")] if paths else []))
     rows = leaf.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(SIBLING_PARTS))).withColumn("one", F.lit(1).cast("bigint"))
     hanging = cut_lineage(_elders(rows.where("pid IS NOT NULL"), "one").drop("one", "part"))
-    found = attach(hanging, "pid", above, total)
+    found = attach(hanging, "pid", above, "name")
     lost, first = F.col("up_depth") < 0, F.col("up_first") + F.col("inner") + F.col("elder")
     known = found.select(
         "name", "parent", F.col("up_root").alias("root"), F.when(lost, -1).otherwise(F.col("up_depth") + 1).cast("bigint").alias("depth"),
