@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.session import cut_lineage
+from inkwell.session import written
 
 #: Parts in which the siblings below one parent are summed, so that a parent of a third of all rows is no hot key.
 SIBLING_PARTS = 64
@@ -54,29 +54,29 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
         .where(F.col("name").isNotNull())
         .distinct()
     )
-    named = cut_lineage(names.join(links.hint("merge"), "name", "left").withColumn("id", F.monotonically_increasing_id()))
+    named = written(names.join(links.hint("merge"), "name", "left").withColumn("id", F.monotonically_increasing_id()))
     ids = named.select(F.col("name").alias("parent"), F.col("id").alias("pid"))
-    linked = cut_lineage(attach(named, "parent", ids, "name").select("id", "name", "parent", "pid"))
+    linked = written(attach(named, "parent", ids, "name").select("id", "name", "parent", "pid"))
     kids = linked.where("pid IS NOT NULL").groupBy(F.col("pid").alias("id")).agg(F.count("*").alias("kids"))
-    marked = cut_lineage(linked.join(kids.hint("merge"), "id", "left"))
+    marked = written(linked.join(kids.hint("merge"), "id", "left"))
     leaf = marked.where("kids IS NULL").drop("kids")
     hanging = leaf.where("pid IS NOT NULL").groupBy(F.col("pid").alias("id")).agg(F.count("*").alias("leaves"))
     core = marked.where("kids IS NOT NULL").join(hanging.hint("merge"), "id", "left").select("id", "name", "parent", "pid", F.coalesce("leaves", F.lit(0)).alias("leaves"))
-    core = cut_lineage(core.join(_sizes(core).hint("merge"), "id"))
-    placed = cut_lineage(_place(core, paths))
+    core = written(core.join(_sizes(core).hint("merge"), "id"))
+    placed = written(_place(core, paths))
     return placed.drop("id", "inner").unionByName(_leaves(leaf, placed, paths))
 
 
 def _sizes(core: DataFrame) -> DataFrame:
     """id, size of the subtree, whether the node reaches a top (tree), and whether it lies on a cycle."""
     state = core.select("id", F.col("pid").alias("up"), (F.col("leaves") + 1).alias("size"), F.col("pid").isNull().alias("tree"))
-    state = cut_lineage(state)
+    state = written(state)
     total, before, rounds = state.count(), -1, 0
     reached = state.where("tree").count()
     while reached not in (before, total):
         below = state.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("tree").alias("tree2"))
-        state = cut_lineage(
+        state = written(
             state.join(above.hint("merge"), "up", "left").join(below.hint("merge"), "id", "left").select(
                 "id", F.col("up2").alias("up"),
                 (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
@@ -87,11 +87,11 @@ def _sizes(core: DataFrame) -> DataFrame:
     if reached == total:
         return state.select("id", "size", "tree", F.lit(False).alias("ring"))
     # Of the rest, all have walked 2^rounds links. On a cycle are the nodes that these walks, once long enough, end at.
-    rest = cut_lineage(state.where(~F.col("tree")).select("id", F.col("up").alias("end")))
+    rest = written(state.where(~F.col("tree")).select("id", F.col("up").alias("end")))
     count = rest.count()
     while 2**rounds < count:
         ahead = rest.select(F.col("id").alias("end"), F.col("end").alias("end2"))
-        rest = cut_lineage(rest.join(ahead.hint("merge"), "end", "left").select("id", F.col("end2").alias("end")))
+        rest = written(rest.join(ahead.hint("merge"), "end", "left").select("id", F.col("end2").alias("end")))
         rounds += 1
     ring = rest.select(F.col("end").alias("id")).distinct().withColumn("ring", F.lit(True))
     return state.join(ring.hint("merge"), "id", "left").select("id", "size", "tree", F.coalesce("ring", F.lit(False)).alias("ring"))
@@ -99,13 +99,13 @@ def _sizes(core: DataFrame) -> DataFrame:
 
 def _double(state: DataFrame, more: list[Column], columns: list[str]) -> DataFrame:
     """Follow up (null at the end) to the end; more says what a node takes over from the one it points to (its columns with a 2)."""
-    done, active = None, cut_lineage(state)
+    done, active = None, written(state)
     whole = active
     while not active.where(F.col("up").isNotNull()).isEmpty():
         ahead = whole.select(F.col("id").alias("up"), F.col("up").alias("up2"), *(F.col(c).alias(f"{c}2") for c in columns))
         ended = active.where("up IS NULL")
         done = ended if done is None else done.union(ended)
-        active = cut_lineage(active.where("up IS NOT NULL").join(ahead.hint("merge"), "up").select("id", F.col("up2").alias("up"), *more))
+        active = written(active.where("up IS NOT NULL").join(ahead.hint("merge"), "up").select("id", F.col("up2").alias("up"), *more))
         whole = done.unionByName(active)
     return whole
 
@@ -114,16 +114,16 @@ def _chains(inside: DataFrame) -> DataFrame:
     """id, head of its chain, place on the chain from 0, and for heads of light chains the offset behind their elder siblings."""
     child = inside.where(F.col("pid").isNotNull())
     heavy = child.groupBy("pid").agg(F.min_by(F.struct("id", "size"), F.struct(-F.col("size"), F.col("name"))).alias("h"))
-    heavy = cut_lineage(heavy.select("pid", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size")))
+    heavy = written(heavy.select("pid", F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size")))
     part = F.pmod(F.xxhash64("name"), F.lit(SIBLING_PARTS))
     light = attach(child, "pid", heavy, "id").where(F.col("id") != F.col("heavy")).select("id", "pid", "name", "size", "heavy_size", part.alias("part"))
-    light = cut_lineage(light)
+    light = written(light)
     offset = _elders(light, "size").select("id", (F.col("heavy_size") + F.col("elder")).alias("skip"))
     start = inside.join(heavy.select(F.col("heavy").alias("id"), F.lit(True).alias("is_heavy")).hint("merge"), "id", "left")
     start = start.select("id", F.when(F.col("is_heavy"), F.col("pid")).alias("up"), F.when(F.col("is_heavy"), F.col("pid")).otherwise(F.col("id")).alias("head"),
                          F.when(F.col("is_heavy"), 1).otherwise(0).cast("bigint").alias("place"))
     ended = _double(start, [F.col("head2").alias("head"), (F.col("place") + F.col("place2")).alias("place")], ["head", "place"])
-    return cut_lineage(ended.select("id", "head", "place").join(offset.hint("merge"), "id", "left"))
+    return written(ended.select("id", "head", "place").join(offset.hint("merge"), "id", "left"))
 
 
 def _elders(rows: DataFrame, value: str) -> DataFrame:
@@ -141,7 +141,7 @@ def _place(core: DataFrame, paths: bool) -> DataFrame:
     chained = _chains(inside)
     at = chained.select(F.col("id").alias("pid"), F.col("head").alias("above"), F.col("place").alias("above_place"))
     heads = chained.where(F.col("id") == F.col("head")).join(inside.select("id", "pid").hint("merge"), "id")
-    heads = cut_lineage(heads.select("id", "skip", "pid").join(at.hint("merge"), "pid", "left"))
+    heads = written(heads.select("id", "skip", "pid").join(at.hint("merge"), "pid", "left"))
     start = heads.select(
         "id", F.col("above").alias("up"), F.coalesce("above", F.col("id")).alias("top"),
         F.coalesce(F.col("above_place") + 1, F.lit(0)).alias("depth"),
@@ -152,16 +152,16 @@ def _place(core: DataFrame, paths: bool) -> DataFrame:
     chains = None
     if paths:
         chains = chained.join(inside.select("id", "name"), "id").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("all"))
-        chains = cut_lineage(chains.select("head", F.col("all.name").alias("names")))
+        chains = written(chains.select("head", F.col("all.name").alias("names")))
         cuts = attach(heads.select("id", "above", "above_place"), "above", chains.withColumnRenamed("head", "above"), "id")
         start = start.join(cuts.select("id", F.coalesce(F.slice("names", F.lit(1), (F.col("above_place") + 1).cast("int")), F.array().cast("array<string>")).alias("ahead")), "id")
         columns.append("ahead")
         more.append(F.concat("ahead2", "ahead").alias("ahead"))
-    tops = cut_lineage(_double(start, more, columns))
+    tops = written(_double(start, more, columns))
     roots = inside.where(F.col("pid").isNull()).select(F.col("id").alias("top"), F.col("name").alias("root"))
     tops = tops.drop("up").join(roots.hint("merge"), "top").select(F.col("id").alias("head"), "root", F.col("depth").alias("head_depth"), F.col("first").alias("head_first"), *(["ahead"] if paths else []))
-    full = cut_lineage(inside.join(chained.select("id", "head", "place").hint("merge"), "id"))
-    full = attach(full, "head", cut_lineage(tops.join(chains, "head") if paths else tops), "id")
+    full = written(inside.join(chained.select("id", "head", "place").hint("merge"), "id"))
+    full = attach(full, "head", written(tops.join(chains, "head") if paths else tops), "id")
     first = F.col("head_first") + F.col("place")
     known = full.select(
         "id", "name", "parent", "root", (F.col("head_depth") + F.col("place")).alias("depth"),
@@ -176,7 +176,7 @@ def _leaves(leaf: DataFrame, placed: DataFrame, paths: bool) -> DataFrame:
     """The rows of the nodes without children, from those of their parents: their positions follow those of all other children."""
     above = placed.select(F.col("id").alias("pid"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("first").alias("up_first"), "inner", *([F.col("path").alias("up_path")] if paths else []))
     rows = leaf.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(SIBLING_PARTS))).withColumn("one", F.lit(1).cast("bigint"))
-    hanging = cut_lineage(_elders(rows.where("pid IS NOT NULL"), "one").drop("one", "part"))
+    hanging = written(_elders(rows.where("pid IS NOT NULL"), "one").drop("one", "part"))
     found = attach(hanging, "pid", above, "name")
     lost, first = F.col("up_depth") < 0, F.col("up_first") + F.col("inner") + F.col("elder")
     known = found.select(
