@@ -33,11 +33,6 @@ def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return above.select("category", "descendant", (F.col("depth") - F.col("place")).alias("distance"))
 
 
-def p1_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """The categories on or below a cycle, and which of the two."""
-    return category_forest(spark, folder).where("depth < 0").select(F.col("name").alias("category"), "cyclic")
-
-
 def p1_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """Positions below the root: v's descendants are the categories u of its root with v.first < u.first <= v.last."""
     return category_forest(spark, folder).where("depth >= 0").select(F.col("name").alias("category"), "root", "first", "last")
@@ -126,7 +121,7 @@ def _text_sql(key: str) -> str:
 
 _AROUND = "{0}.record_id = s.record_id AND (starts_with(s.fullkey, {0}.fullkey || '.') OR starts_with(s.fullkey, {0}.fullkey || '['))"
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_cycles": p1_cycles, "p1_intervals": p1_intervals, "p1_spans": p1_spans, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_intervals": p1_intervals, "p1_spans": p1_spans, "p5_found": p5_found, "p5_pages": p5_pages, "p5_revisions": p5_revisions,
            "p5_sections": p5_sections, "p5_notes": p5_notes}
 SQL = {
     "p1_found": f"WITH RECURSIVE {NAMES_SQL} SELECT n.name AS category, coalesce(d.root, '') AS root, coalesce(d.depth, -1) AS depth FROM nodes n LEFT JOIN down d ON n.name = d.name",
@@ -141,9 +136,6 @@ SQL = {
         up AS (SELECT name AS below, parent AS above, CAST(1 AS BIGINT) AS distance FROM down WHERE parent IS NOT NULL
           UNION ALL SELECT u.below, n.parent, u.distance + 1 FROM up u JOIN nodes n ON u.above = n.name WHERE n.parent IS NOT NULL)
         SELECT above AS category, below AS descendant, distance FROM up""",
-    "p1_cycles": f"""WITH RECURSIVE {NAMES_SQL}, lost AS (SELECT n.name, n.parent FROM nodes n LEFT JOIN down d ON n.name = d.name WHERE d.name IS NULL),
-        walk AS (SELECT name, parent AS above FROM lost UNION SELECT w.name, l.parent FROM walk w JOIN lost l ON w.above = l.name)
-        SELECT name AS category, CASE WHEN bool_or(name = above) THEN 'on' ELSE 'below' END AS cyclic FROM walk GROUP BY name""",
     "p1_spans": f"""WITH RECURSIVE {NAMES_SQL}, up AS (SELECT name AS below, parent AS above FROM down WHERE parent IS NOT NULL
           UNION ALL SELECT u.below, n.parent FROM up u JOIN nodes n ON u.above = n.name WHERE n.parent IS NOT NULL),
         sizes AS (SELECT above, count(*) AS n FROM up GROUP BY above)
