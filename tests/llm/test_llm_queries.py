@@ -1,3 +1,4 @@
+import hashlib
 import math
 from pathlib import Path
 
@@ -36,3 +37,19 @@ FOUND = {
 @pytest.mark.parametrize("name", sorted(FOUND))
 def test_found_columns(spark, data, name):
     assert QUERIES[name](spark, data).columns == FOUND[name]
+
+
+ODD = ["", " \r\n\t", "plain words only", "Broken <div class=\"note\"\r\nwords &lt;i&gt;stay&lt;/i&gt;. <!-- lost", "<ref name=q>a</ref>''b'' [[c|d]] {{e {{f}} g}} $h_1$ `i **j**`\r\n\r\n```py\nk [[l]]\n```\n\n\\textbf{m}~\\cite{n} $$o$$"]
+
+
+def test_letters_of_every_article(spark, tmp_path):
+    """p3_letters has a row of every article, those with markup too, of which p3_blocks has none."""
+    rows = [(i, text, None) for i, text in enumerate(ODD)] + [(97, None, None), (98, "x", "y"), (None, "z", None), (2, ODD[2], None)]
+    spark.createDataFrame(rows, "page_id bigint, text string, redirect string").write.parquet(str(tmp_path / "page.parquet"))
+    ours = {r.page_id: (r.chars, r.digest) for r in QUERIES["p3_letters"](spark, str(tmp_path)).collect()}
+    texts = ["", "", "plainwordsonly", "Brokenwordsstay", "bdh1ijklmo"]
+    assert ours == {i: (len(text), hashlib.md5(text.encode()).hexdigest()) for i, text in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW page AS SELECT * FROM read_parquet('{tmp_path}/page.parquet/*.parquet')")
+    assert ours == {key: (chars, digest) for key, chars, digest in con.execute(SQL["p3_letters"]).fetchall()}
+    assert {r.page_id for r in QUERIES["p3_blocks"](spark, str(tmp_path)).collect()} < set(ours)

@@ -92,6 +92,22 @@ def test_inline_code_stays():
     assert clean(f"{PROSE} Write `code **x** and [[y]]` there. {PROSE}") == f"{PROSE} Write code **x** and [[y]] there. {PROSE}"
 
 
+@pytest.mark.parametrize("tag", ['<div class="note"', "<div", '<div class="note" id=x', '<div\nclass="note"', "</div"])
+def test_words_behind_a_broken_tag_stay(tag):
+    for room in (" ", "\n"):
+        assert clean(f"{PROSE} {tag}{room}{PROSE}").split() == f"{PROSE} {PROSE}".split()
+    assert clean(f"{PROSE} {tag}\n<ul><li>one</li><li>two</li></ul>").split() == [*PROSE.split(), "-", "one", "-", "two"]
+
+
+def test_closed_tags_go_with_all_their_attributes():
+    assert clean('a <input checked disabled>b <span title="x > y" hidden lang=en/>c') == "a b c"
+
+
+@pytest.mark.parametrize("text", ["<b w x=<b ", '<b w x="<b\n', '<b x=" ', "<b w=\"<b w=' ", "<div a b c x=\"y\" "])
+def test_broken_attributes_take_linear_time(text):
+    clean(text * 30_000)
+
+
 def test_regions_are_apart_and_in_order():
     text = "{{a {{b}} <!-- c --> d}} ``` x {{ ``` <ref name=q/> <ref>r</ref> $$ y $$ {{ <!-- z"
     found = regions(text)
