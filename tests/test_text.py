@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from inkwell.functions import text as T
@@ -6,6 +7,7 @@ from inkwell.functions.pipeline import full_words, spelled
 from inkwell.functions.stemming import singular, stem
 from inkwell.operators.chunking import chunk_spans, chunk_texts, paragraph_chunks
 from inkwell.operators.phrases import phrase_scores
+from inkwell.plans.index_queries import RAKE_SQL
 
 
 def apply(spark, rule, *texts):
@@ -65,3 +67,16 @@ def test_phrases(spark):
     df = spark.createDataFrame([(1, "Big red cat and the red cat."), (2, None)], "doc_id bigint, text string")
     got = {r.phrase: r.score for r in phrase_scores(df).collect()}
     assert got == {"big red cat": 3 + 2.5 + 2.5, "red cat": 5.0}
+
+
+def test_phrases_of_repeated_documents(spark):
+    """Against the SQL, also where rows share a doc_id; texts are shuffled once and words never, so nothing is joined."""
+    rows = [(1, "the Red cat's tail, red\tcat"), (1, "Red cat's tail"), (1, "Red cat's tail"), (2, "a - b|c | | it's d-e the-f"), (3, ""), (4, None), (5, "of the"), (None, "lost cat")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    ours, theirs = {r[:2]: round(r[2], 6) for r in phrase_scores(df).collect()}, {r[:2]: r[2] for r in con.execute(RAKE_SQL).fetchall()}
+    assert ours == theirs and ours
+    plan = phrase_scores(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
