@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from inkwell.llm import queries
 from inkwell.llm.queries import QUERIES, SQL
 
 
@@ -53,3 +54,13 @@ def test_letters_of_every_article(spark, tmp_path):
     con.execute(f"CREATE VIEW page AS SELECT * FROM read_parquet('{tmp_path}/page.parquet/*.parquet')")
     assert ours == {key: (chars, digest) for key, chars, digest in con.execute(SQL["p3_letters"]).fetchall()}
     assert {r.page_id for r in QUERIES["p3_blocks"](spark, str(tmp_path)).collect()} < set(ours)
+
+
+def test_blocks_among_those_of_every_article(spark, tmp_path, monkeypatch):
+    """p3_blocks takes the markup off every article, not only off those of which it has rows."""
+    rows = [(i, text, None) for i, text in enumerate(ODD)] + [(98, "x", "y")]
+    spark.createDataFrame(rows, "page_id bigint, text string, redirect string").write.parquet(str(tmp_path / "page.parquet"))
+    strip, keys = queries.strip_markup, []
+    monkeypatch.setattr(queries, "strip_markup", lambda texts, **options: keys.extend(r.key for r in texts.select("key").collect()) or strip(texts, **options))
+    found = sorted(tuple(r) for r in QUERIES["p3_blocks"](spark, str(tmp_path)).collect())
+    assert sorted(keys) == list(range(len(ODD))) and found == [(0, 0, 0), (2, 14, 0)]
