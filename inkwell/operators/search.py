@@ -7,15 +7,17 @@ adding up on the map side, shuffled. A query may have any number of words.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import simple_tokens
 from inkwell.operators.index import B, K1
 from inkwell.operators.store import as_index
+from inkwell.session import written
 
 #: Longer words are not indexed.
 WORD_LIMIT = 60
@@ -130,6 +132,56 @@ def search_all(source, queries: DataFrame, k: int) -> DataFrame:
     return top_per_group(scores, "query_id", k).select("query_id", "rank", "doc_id", "score")
 
 
+#: Longs in the mask of a set of words, and queries that are broadcast at a time.
+MASK, AT_ONCE = 4, 200_000
+
+
+def _place(word: Column) -> Column:
+    """Which bit of the mask stands for the word."""
+    return F.pmod(F.xxhash64(word), F.lit(64 * MASK)).cast("int")
+
+
+def _bit(place: Column, part: int) -> Column:
+    """The bit in that long of the mask; a shift counts by the last six bits of place."""
+    return F.when(F.shiftright(place, 6) == part, F.call_function("shiftleft", F.lit(1).cast("bigint"), place)).otherwise(F.lit(0).cast("bigint"))
+
+
+def _with_bit(part: int) -> Callable[[Column, Column], Column]:
+    return lambda mask, place: mask.bitwiseOR(_bit(place, part))
+
+
+def own_ranks(docs: DataFrame, asked: DataFrame, least: float, k: int, at_once: int = AT_ONCE) -> DataFrame:
+    """query_id, rank: where the document query_id stands in the answer to asked(query_id, word), words of its own, if among the k best.
+
+    Documents score by the sum of the idf of the words they hold, counting words with an idf above least (of 0 or more);
+    ties go by doc_id. As the document has all the words, none can score more, and those that score as much have them
+    all: its rank is the number of such documents up to it. They are found among the documents with the rarest word of
+    the query, by masks of their words first, then word by word. Texts are shuffled once and no pairs are; queries are
+    broadcast, at_once at a time.
+    """
+    parts = [f"m{i}" for i in range(MASK)]
+    whole = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    words = whole.select("doc_id", F.array_distinct(simple_tokens("text")).alias("words")).withColumn("places", F.transform("words", _place))
+    masks = {m: F.aggregate("places", F.lit(0).cast("bigint"), _with_bit(i)) for i, m in enumerate(parts)}
+    held = written(words.withColumns(masks).drop("places"))
+    df = held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    weighed = asked.distinct().join(df, "word").crossJoin(F.broadcast(held.agg(F.count("*").alias("n")))).where(F.log(F.col("n") / F.col("df")) > least)
+    rows = weighed.withColumn("place", _place(F.col("word")))
+    queries = written(rows.groupBy("query_id").agg(
+        F.min(F.struct("df", "word"))["word"].alias("key"), F.collect_list("word").alias("wanted"), *(F.bit_or(_bit(F.col("place"), i)).alias(f"q{i}") for i in range(MASK))
+    ))
+    slices = -(-queries.count() // at_once)
+    tokens, found = held.select("doc_id", "words", *parts, F.explode("words").alias("key")), queries.select("query_id", F.lit(0).alias("before")).limit(0)
+    for i in range(slices):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        likely = F.col("doc_id") <= F.col("query_id")
+        for j, m in enumerate(parts):
+            likely = likely & (F.col(m).bitwiseAND(F.col(f"q{j}")) == F.col(f"q{j}"))
+        pairs = tokens.join(F.broadcast(some), "key").where(likely & (F.size(F.array_except("wanted", "words")) == 0))  # compiled, as forall() is not
+        found = found.unionByName(pairs.groupBy("query_id").agg(F.count("*").alias("before")))
+    return found.where(F.col("before") <= k).select("query_id", F.col("before").cast("int").alias("rank"))
+
+
 def aligned_vectors(sparse: DataFrame, words: list[str], value: str = "tf_idf") -> DataFrame:
     """doc_id, vector: value of each of the words in their order, 0 where the document lacks one."""
     held = sparse.where(F.col("word").isin(words)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", value))).alias("m"))

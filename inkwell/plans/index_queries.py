@@ -140,11 +140,8 @@ def _result_format(spark, folder):
 
 def _passages(spark, folder):
     """For each of every twentieth documents: the rank of the document when its own first twelve words are the query, by shared idf."""
-    asked = docs(spark, folder).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(T.simple_tokens("text"), 1, 12))).alias("word"))
-    # df of at most a fifth of the documents, so no word is a hot key in either join
-    weighed = asked.join(_stored_idf(spark, folder).select("word", "idf"), "word").where("idf > 1.5")
-    scores = weighed.join(stored(spark, folder).postings().select("doc_id", "word"), "word").groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), 6).alias("score"))
-    return S.top_per_group(scores, "query_id", 10).where("doc_id = query_id").select("query_id", "rank")
+    asked = docs(spark, folder).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.slice(T.simple_tokens("text"), 1, 12)).alias("word"))
+    return S.own_ranks(docs(spark, folder), asked, 1.5, 10)
 
 
 def _passage_search(spark, folder):

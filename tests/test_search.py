@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import pytest
 
 from inkwell.engine import SearchEngine
 from inkwell.operators import index as I
 from inkwell.operators import search as S
 from inkwell.operators.store import StoredIndex, write_index
+from inkwell.plans import index_queries
 
 DOCS = [(1, "red cat red"), (2, "blue cat"), (3, ""), (4, None), (5, "dog")]
 
@@ -107,3 +109,20 @@ def test_search_of_a_stored_index_equals_that_of_the_texts(spark, index):
 def test_only_buckets_and_words_of_the_query_are_read(index):
     plan = S.bm25_scores(index[0], "red cat")._jdf.queryExecution().toString()
     assert "In(word, [cat,red])" in plan and "PartitionFilters: [bucket" in plan and "text" not in plan
+
+
+def test_ranks_of_own_words(spark, tmp_path, monkeypatch):
+    """passage_recall against its SQL, with texts that hold each other, copies and repeated ids: no index, no pairs of documents shuffled."""
+    rows = [(i, " ".join(f"w{i * 3 % 13 + j}" for j in range(2 + i % 7))) for i in range(1, 200)] + [(i, f"rare{i} only") for i in range(200, 401)]
+    rows += [(20, "w0 again"), (40, rows[39][1]), (420, ""), (440, None), (None, "w1 w2"), *((i, "filler words") for i in range(441, 1500))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet') WHERE doc_id IS NOT NULL")
+    theirs = sorted(con.execute(index_queries.SQL["passage_recall"]).fetchall())
+    monkeypatch.setattr(index_queries, "stored", lambda spark, folder: pytest.fail("builds an index"))
+    found = index_queries.QUERIES["passage_recall"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == theirs and len({rank for _, rank in theirs}) > 3
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    asked = docs.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "explode(slice(split(text, ' '), 1, 12)) AS word").where("word <> ''")
+    assert sorted(tuple(r) for r in S.own_ranks(docs, asked, 1.5, 10, at_once=7).collect()) == theirs
