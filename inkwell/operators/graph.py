@@ -5,11 +5,15 @@ Loops run once per level or once for several, not once per node, and cut their l
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.index import running_totals
-from inkwell.session import cut_lineage
+from inkwell.functions.arrow import flat_map
+from inkwell.operators.index import dense_ids, running_totals
+from inkwell.session import cut_lineage, written
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -99,9 +103,62 @@ def roll_up(edges: DataFrame, members: DataFrame, value: str = "doc_id") -> Data
     return held(edges, members, value).groupBy("node").agg(F.count("*").alias("docs"))
 
 
-def roll_up_words(edges: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
-    """node, word, tf: counts(doc_id, word, tf) merged over the distinct documents of the node and of all below it."""
-    return held(edges, members).join(counts, "doc_id").groupBy("node", "word").agg(F.sum("tf").alias("tf"))
+#: Edges up to which every task walks them by itself, pairs of node and document that are broadcast at a time, such pairs
+#: to a task, up to MOST tasks, and broadcasts at a time.
+WALKED, AT_ONCE, EACH, MOST, TOGETHER = 5_000_000, 5_000_000, 20_000, 2_000, 8
+
+
+def holders(edges: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, ids: for each document of members(node, doc_id) the numbers of all nodes that hold it, as held() has them.
+
+    ids(node, id) numbers the nodes from 0. Each document walks up from its own nodes, so there are no rounds and no pairs
+    are shuffled; the edges, of which there are counted to be few, go to every task.
+    """
+    src, dst = ids.select(F.col("node").alias("src"), F.col("id").alias("parent")), ids.select(F.col("node").alias("dst"), F.col("id").alias("child"))
+    up = edges.join(src, "src").join(dst, "dst").select(F.col("child").cast("int"), F.col("parent").cast("int")).toArrow()
+    order = np.argsort(child := up["child"].to_numpy(), kind="stable")
+    parents, starts = up["parent"].to_numpy()[order], np.searchsorted(child[order], np.arange(child.max(initial=-1) + 2))
+
+    def start():
+        above, first = parents.tolist(), starts.tolist()
+
+        def work(doc_id: int, own: list[int]) -> list[tuple]:
+            seen, open_ = set(own), list(own)
+            while open_:
+                node = open_.pop()
+                for parent in above[first[node] : first[node + 1]] if node + 1 < len(first) else ():
+                    if parent not in seen:
+                        seen.add(parent)
+                        open_.append(parent)
+            return [(doc_id, sorted(seen))]
+
+        return work
+
+    own = members.join(ids, "node").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.col("id").cast("int")).alias("own"))
+    return flat_map(own, ["doc_id", "own"], start, f"doc_id {dict(members.dtypes)['doc_id']}, ids array<int>")
+
+
+def roll_up_words(edges: DataFrame, members: DataFrame, counts: DataFrame, walked: int = WALKED, at_once: int = AT_ONCE) -> DataFrame:
+    """node, word, tf: counts(doc_id, word, tf) merged over the distinct documents of the node and of all below it.
+
+    Counts are shuffled once, by word; the nodes of each document are broadcast, at_once pairs at a time, and sums are
+    made where the word is, so rows of node, document and word are never shuffled. More edges than walked go level by
+    level and by shuffles.
+    """
+    links = cut_lineage(clean_edges(edges))
+    if links.count() > walked:
+        return held(links, members).join(counts, "doc_id").groupBy("node", "word").agg(F.sum("tf").alias("tf"))
+    ids = written(dense_ids(members.select("node").union(nodes_of(links)), "node", first=0))
+    lists = written(holders(links, members, ids))
+    pairs = lists.agg(F.sum(F.size("ids"))).head()[0] or 0
+    blocks, least = max(1, -(-pairs // at_once)), int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread, parts = counts.repartition(max(least, min(MOST, -(-pairs // EACH))), "word"), []
+    for i in range(blocks):
+        nodes = lists.select("doc_id", F.filter("ids", lambda x: x % blocks == i).alias("ids")).where(F.size("ids") > 0)
+        sums = spread.join(F.broadcast(nodes), "doc_id").select("word", F.explode("ids").alias("id"), "tf").groupBy("id", "word").agg(F.sum("tf").alias("tf"))
+        part = sums.join(F.broadcast(ids.where(F.col("id") % blocks == i)), "id").select("node", "word", "tf")
+        parts.append(written(part) if blocks > TOGETHER else part)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def same_graph(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from inkwell.operators import graph as G
 from inkwell.operators import sets as U
 from inkwell.operators import vectors as V
@@ -105,3 +107,18 @@ def test_words_rolled_up_once_per_document(spark):
     counts = spark.createDataFrame([(1, "x", 3), (2, "x", 4), (2, "y", 1)], "doc_id bigint, word string, tf bigint")
     got = {tuple(r) for r in G.roll_up_words(edges, members, counts).collect()}
     assert got == {("c", "x", 3), ("a", "x", 3), ("b", "x", 7), ("b", "y", 1), ("top", "x", 7), ("top", "y", 1)}
+
+
+@pytest.mark.parametrize("options", [{}, {"at_once": 2}, {"at_once": 1}, {"walked": 0}])
+def test_words_rolled_up(spark, options):
+    """By two ways up each document counts once; sums stay where their word is, so nodes are not shuffled with words."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("x", "c"), ("x", None)], "src string, dst string")
+    members = spark.createDataFrame([("d", 1), ("d", 1), ("b", 1), ("c", 2), ("lone", 2), ("a", 9), (None, 1), ("d", None)], "node string, doc_id bigint")
+    counts = spark.createDataFrame([(1, "red", 2), (1, "cat", 1), (2, "cat", 3), (3, "dog", 1)], "doc_id bigint, word string, tf bigint")
+    rolled = G.roll_up_words(edges, members, counts, **options)
+    one, two = {"red": 2, "cat": 1}, {"cat": 3}
+    both = {"red": 2, "cat": 4}
+    want = {"d": one, "b": one, "c": both, "a": both, "x": both, "lone": two}
+    assert sorted(tuple(r) for r in rolled.select("node", "word", "tf").collect()) == sorted((n, w, t) for n, words in want.items() for w, t in words.items())
+    plan = rolled._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan or "hashpartitioning(node" in plan) == ("walked" in options)
